@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+from .bpe import op6_bpe
+from .media import op9_media
+from .quality import op10_quality
 from .substring_dedup import op1_substring_dedup
+from .topk import OP3_SQL, op3_topk
+from .toxicity import op4_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup,)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op3_topk, op4_toxicity, op6_bpe, op9_media, op10_quality)}
+ORACLE_SQL: dict[str, str] = {"op3_topk": OP3_SQL}

@@ -280,7 +280,8 @@ def substring_dedup(docs: DataFrame, window: int = 13) -> DataFrame:
     buckets = max(32, size // BUCKET_BYTES)
     block = (window + 1) // 2
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    dealt = texts.repartition(max(32, size // (2 * BUCKET_BYTES)), "doc_id")
+    # the filter that an inner join adds stands here too, so that both joins have the same exchange
+    dealt = texts.where("doc_id is not null").repartition(max(32, size // (2 * BUCKET_BYTES)), "doc_id")
     known = texts.where("doc_id is not null and text is not null")
 
     def with_marks(found: DataFrame, how: str) -> DataFrame:
@@ -289,7 +290,8 @@ def substring_dedup(docs: DataFrame, window: int = 13) -> DataFrame:
 
     first = known.mapInArrow(anchors(window, buckets), PACKED).repartition(buckets, "bucket").groupBy("bucket").applyInArrow(hits(block), MARKS)
     second = with_marks(first, "inner").mapInArrow(extended(window, buckets), PACKED).repartition(buckets, "bucket").groupBy("bucket").applyInArrow(repeats, MARKS)
-    return with_marks(second, "left").mapInArrow(kept(window), OUT)
+    unnamed = texts.where("doc_id is null").withColumn("marks", F.lit(None))
+    return with_marks(second, "left").unionByName(unnamed).mapInArrow(kept(window), OUT)
 
 
 def op1_substring_dedup(spark, sf_dir: str) -> DataFrame:
