@@ -279,30 +279,31 @@ def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             texts.append(None if text is None else "\n".join(x for i, x in enumerate(lines) if i not in gone) if gone else text)
             n_lines.append(len(lines))
             removed.append(len(gone))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n_lines, pa.int64()), pa.array(removed, pa.int64()), pa.array(texts, pa.string())], names=["doc_id", "n_lines", "n_removed", "kept_text"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n_lines, pa.int64()), pa.array(removed, pa.int64()), pa.array(texts, pa.string()), batch.column("extra")], names=["doc_id", "n_lines", "n_removed", "kept_text", "extra"])
 
 
-def line_dedup(docs: DataFrame, extra: list[str] | None = None) -> DataFrame:
+def line_dedup(docs: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
     """Removes each line of at least LEAST characters that equals an earlier line, or is one edit from one, where both have LEAST_EDIT.
 
     Earlier is by (doc_id, line number); lines are split at \\n and judged on the input; characters are code points, those that aren't
     white space count for LEAST. Returns doc_id, n_lines, n_removed and kept_text (the other lines, joined by \\n), a row for each row
-    of docs, and the columns of `extra` as they are. A null text stays null. A row without doc_id keeps all lines and removes none.
+    of docs, and extra: a struct of the columns that `extra` names, as they are. A null text stays null. A row without doc_id keeps all lines and removes none.
     Rows that repeat with the same doc_id are one document each: equal ones come out alike, without removing from each other.
     """
     size = text_bytes(docs)
     buckets = max(32, size // BUCKET_BYTES)
-    texts = texts_of(docs)
+    more = F.struct(*[F.col(c) for c in extra] or [F.lit(0).alias("none")]).alias("extra")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), more)
     dealt = texts.where("doc_id is not null").repartition(max(32, size // BUCKET_BYTES), "doc_id")
 
     def with_marks(found: DataFrame, how: str) -> DataFrame:
         each = found.groupBy("doc_id").agg(F.collect_list(F.struct("fp", "kind", "packed")).alias("marks"))
         return dealt.join(each.hint("shuffle_hash"), "doc_id", how)
 
-    first = texts.where("doc_id is not null and text is not null").mapInArrow(offered(buckets), PACKED).repartition(buckets, "bucket").groupBy("bucket").applyInArrow(met, MARKS)
+    first = texts_of(docs).where("doc_id is not null and text is not null").mapInArrow(offered(buckets), PACKED).repartition(buckets, "bucket").groupBy("bucket").applyInArrow(met, MARKS)
     second = with_marks(first, "inner").mapInArrow(variants(buckets), PACKED).repartition(buckets, "bucket").groupBy("bucket").applyInArrow(settled, MARKS)
     unnamed = texts.where("doc_id is null").withColumn("marks", F.lit(None))
-    return with_marks(second, "left").unionByName(unnamed).mapInArrow(kept, OUT)
+    return with_marks(second, "left").unionByName(unnamed).mapInArrow(kept, f"{OUT}, extra {texts.schema['extra'].dataType.simpleString()}")
 
 
 def op8_line_dedup(spark, sf_dir: str) -> DataFrame:

@@ -170,22 +170,22 @@ def fitted(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tu
     return vectors, Network(x, np.array([r["y"] for r in rows], np.float64))
 
 
-def scores(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
-    """docs with a column score (0 to 1, higher: label 1 likelier); scored by text alone.
+def scores(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, into: str = "score") -> DataFrame:
+    """docs with a column score, or as `into` names it, (0 to 1, higher: label 1 likelier); scored by text alone.
 
     A null or empty text is scored as one without words. Without labelled rows of both classes every score is the share of label 1,
-    counted with one more of each. Rows that repeat are scored alike; other columns stay, but for one named score.
+    counted with one more of each. Rows that repeat are scored alike; other columns stay, but for one of that name.
     """
     vectors, network = fitted(docs, labels, per_class)
-    kept = [c for c in docs.columns if c != "score"]
+    kept = [c for c in docs.columns if c != into]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             x = pooled(b.column("text"), vectors).astype(np.float64)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(network.probability(x), pa.float64())], names=[*b.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(network.probability(x), pa.float64())], names=[*b.schema.names, into])
 
     rows = docs.select(*kept)
-    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("score", T.DoubleType())]))
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(into, T.DoubleType())]))
 
 
 def op10_quality(spark, sf_dir: str) -> DataFrame:
