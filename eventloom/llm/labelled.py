@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import in_hold_out, mixed, rolling, slices, word_hashes, words_of
@@ -15,8 +15,10 @@ from .common import in_hold_out, mixed, rolling, slices, word_hashes, words_of
 PER_CLASS = 8_000
 
 
-def texts_of(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+def texts_of(docs: DataFrame, *more: Column) -> DataFrame:
+    """doc_id and text, cast only where their types differ: an alias less, and two uses of the same exchange are seen to be one."""
+    types = dict(docs.dtypes)
+    return docs.select(*[F.col(c) if types[c] == t else F.col(c).cast(t).alias(c) for c, t in (("doc_id", "bigint"), ("text", "string"))], *more)
 
 
 def training(docs: DataFrame, labels: DataFrame, column: str, per_class: int = PER_CLASS) -> DataFrame:

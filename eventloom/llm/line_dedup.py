@@ -293,7 +293,7 @@ def line_dedup(docs: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
     size = text_bytes(docs)
     buckets = max(32, size // BUCKET_BYTES)
     more = F.struct(*[F.col(c) for c in extra] or [F.lit(0).alias("none")]).alias("extra")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), more)
+    texts = texts_of(docs, more)
     dealt = texts.where("doc_id is not null").repartition(max(32, size // BUCKET_BYTES), "doc_id")
 
     def with_marks(found: DataFrame, how: str) -> DataFrame:
