@@ -2,5 +2,446 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from .functions import udfs
+from .operators import dag, folds, log, views
+from .plans.log_view import LOG_SQL, RETENTION_SQL, log as log_of, millis, read, retention
+from .sources import tables
+from .streaming import queries
+
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+L, LR = f"WITH {LOG_SQL}", f"WITH {LOG_SQL}, {RETENTION_SQL}"
+RECORD = ("stream_id", "seq", "event_type", "payload", "timestamp_ms")
+
+
+# Log: scans, append, statistics, compaction.
+
+
+@query(f"{L} SELECT stream_id, seq, event_type, payload, timestamp_ms FROM log WHERE stream_id = 'user:3' AND seq >= 5 ORDER BY seq LIMIT 100")
+def log_scan_range(spark, d):
+    return log.scan(log_of(spark, d), "user:3", 5).select(*RECORD)
+
+
+@query(f"{LR} SELECT stream_id, seq, event_type FROM log JOIN retention USING (stream_id) WHERE seq >= trim_before")
+def log_live_records(spark, d):
+    return log.live(log_of(spark, d), retention(spark, d)).select("stream_id", "seq", "event_type")
+
+
+@query(f"{L} SELECT DISTINCT stream_id FROM log WHERE starts_with(stream_id, 'user:1')")
+def log_list_streams_prefix(spark, d):
+    return log.streams(log_of(spark, d), "user:1")
+
+
+@query(f"{L}, r AS (SELECT *, row_number() OVER (PARTITION BY stream_id, idempotency_key ORDER BY seq) AS n FROM log) SELECT stream_id, seq, idempotency_key, payload FROM r WHERE n = 1")
+def log_dedup_first_wins(spark, d):
+    return log.dedup_first(log_of(spark, d)).select("stream_id", "seq", "idempotency_key", "payload")
+
+
+@query(
+    f"""{L}, old AS (SELECT * FROM log WHERE event_id % 3 <> 0), r AS (
+    SELECT a.*, h.held, coalesce(e.last, 0) AS last, row_number() OVER (PARTITION BY a.stream_id, a.idempotency_key ORDER BY a.event_id) AS k
+    FROM (SELECT * FROM log WHERE event_id % 3 = 0) a LEFT JOIN (SELECT stream_id, idempotency_key, min(seq) AS held FROM old GROUP BY ALL) h USING (stream_id, idempotency_key)
+    LEFT JOIN (SELECT stream_id, max(seq) AS last FROM old GROUP BY ALL) e USING (stream_id)),
+    s AS (SELECT *, held IS NOT NULL OR k > 1 AS duplicate FROM r),
+    t AS (SELECT *, last + sum(CASE WHEN duplicate THEN 0 ELSE 1 END) OVER (PARTITION BY stream_id ORDER BY event_id) AS own FROM s)
+    SELECT event_id, stream_id, duplicate, CAST(CASE WHEN duplicate THEN coalesce(held, min(CASE WHEN NOT duplicate THEN own END) OVER (PARTITION BY stream_id, idempotency_key)) ELSE own END AS BIGINT) AS seq FROM t"""
+)
+def log_append_idempotent(spark, d):
+    rows = log_of(spark, d)
+    return log.append(rows.where("event_id % 3 <> 0"), rows.where("event_id % 3 = 0").drop("seq"), "event_id").select("event_id", "stream_id", "duplicate", "seq")
+
+
+STATS = """stats AS (SELECT stream_id, coalesce(min(CASE WHEN seq >= trim_before THEN seq END), max(seq) + 1) AS first_seq, max(seq) + 1 AS next_seq, max(trim_before) AS trimmed_before_seq,
+  count(*) FILTER (seq < trim_before) AS compactable_records, CAST(coalesce(sum(length) FILTER (seq < trim_before), 0) AS BIGINT) AS compactable_bytes FROM log JOIN retention USING (stream_id) GROUP BY stream_id)"""
+
+
+@query(f"{LR}, {STATS} SELECT * FROM stats")
+def log_stream_stats(spark, d):
+    return log.stream_stats(log_of(spark, d), retention(spark, d))
+
+
+@query(f"{LR}, {STATS} SELECT CAST(sum(compactable_records) AS BIGINT) AS records, CAST(sum(compactable_bytes) AS BIGINT) AS bytes FROM stats")
+def log_total_compactable(spark, d):
+    return log_stream_stats(spark, d).agg(F.sum("compactable_records").alias("records"), F.sum("compactable_bytes").alias("bytes"))
+
+
+@query(f"{LR}, {STATS} SELECT stream_id, greatest(trim_before, least(7, next_seq)) AS trim_before FROM retention JOIN stats USING (stream_id)")
+def log_trim_forward(spark, d):
+    kept = retention(spark, d)
+    return log.trim(kept, kept.select("stream_id", F.lit(7).cast("bigint").alias("before_seq")), log_stream_stats(spark, d))
+
+
+SEGMENTS = """seg AS (SELECT segment_id, count(DISTINCT stream_id) AS streams, count(*) AS total_records, count(*) FILTER (seq >= trim_before) AS live_records, count(*) FILTER (seq < trim_before) AS compactable_records,
+  CAST(sum(length) AS BIGINT) AS total_bytes, CAST(coalesce(sum(length) FILTER (seq >= trim_before), 0) AS BIGINT) AS live_bytes, CAST(coalesce(sum(length) FILTER (seq < trim_before), 0) AS BIGINT) AS compactable_bytes,
+  count(*) FILTER (seq >= trim_before) = 0 AS fully_compactable FROM log JOIN retention USING (stream_id) GROUP BY segment_id)"""
+
+
+@query(f"{LR}, {SEGMENTS} SELECT * FROM seg")
+def log_segment_stats(spark, d):
+    return log.segment_stats(log_of(spark, d), retention(spark, d))
+
+
+@query(f"{LR} SELECT segment_id, stream_id, count(*) AS total_records, CAST(sum(length) AS BIGINT) AS total_bytes, count(*) FILTER (seq >= trim_before) AS live_records, CAST(coalesce(sum(length) FILTER (seq >= trim_before), 0) AS BIGINT) AS live_bytes, min(seq) AS min_seq, max(seq) AS max_seq FROM log JOIN retention USING (stream_id) GROUP BY ALL")
+def log_segment_streams(spark, d):
+    return log.segment_streams(log_of(spark, d), retention(spark, d))
+
+
+PLAN = f"""{LR}, {SEGMENTS}, plan AS (SELECT segment_id, CASE WHEN segment_id = 9 OR total_records = 0 THEN 'skip' WHEN fully_compactable THEN 'delete' WHEN compactable_records > 0 AND live_bytes / total_bytes <= 0.98 THEN 'copy' ELSE 'keep' END AS action, round(live_bytes / total_bytes, 6) AS live_ratio FROM seg)"""
+
+
+@query(f"{PLAN} SELECT * FROM plan")
+def log_compaction_plan(spark, d):
+    return log.compaction_plan(log_segment_stats(spark, d), 9, 0.98)
+
+
+@query(f"{PLAN} SELECT stream_id, seq, segment_id FROM log JOIN retention USING (stream_id) JOIN plan USING (segment_id) WHERE NOT (action IN ('delete', 'copy') AND seq < trim_before)")
+def log_compacted(spark, d):
+    return log.compact(log_of(spark, d), retention(spark, d), log_compaction_plan(spark, d)).select("stream_id", "seq", "segment_id")
+
+
+@query(f"{L} SELECT stream_id, event_type, max(seq) AS seq, arg_max(payload, seq) AS payload FROM log GROUP BY ALL")
+def log_latest_per_key(spark, d):
+    return log.latest(log_of(spark, d).select("stream_id", "event_type", "seq", "payload"), ["stream_id", "event_type"], "seq")
+
+
+@query(f"{L} SELECT stream_id, seq FROM log QUALIFY row_number() OVER (PARTITION BY stream_id ORDER BY seq DESC) <= 5")
+def log_tail_bounded(spark, d):
+    return log.tail(log_of(spark, d), 5).select("stream_id", "seq")
+
+
+@query(f"{L} SELECT stream_id, seq, event_type FROM log QUALIFY event_type IS DISTINCT FROM lag(event_type) OVER (PARTITION BY stream_id ORDER BY seq)")
+def log_change_feed(spark, d):
+    return log.changes(log_of(spark, d), "event_type").select("stream_id", "seq", "event_type")
+
+
+@query(f"{L}, b AS (SELECT *, min(CASE WHEN event_type = 'error' AND value > 90 THEN event_id END) OVER (PARTITION BY segment_id) AS bad FROM log) SELECT segment_id, event_id FROM b WHERE bad IS NULL OR event_id < bad")
+def log_recover_truncate(spark, d):
+    return log.recovered(log_of(spark, d), (F.col("event_type") == "error") & (F.col("value") > 90)).select("segment_id", "event_id")
+
+
+@query(f"{L} SELECT stream_id, seq, CASE WHEN seq <= 20 THEN 'a' ELSE 'b' END AS batch FROM log WHERE seq <= 30 QUALIFY row_number() OVER (PARTITION BY stream_id ORDER BY seq DESC) <= 25")
+def log_merge_batches(spark, d):
+    rows = log_of(spark, d).select("stream_id", "seq")
+    return log.merged([rows.where("seq <= 20").withColumn("batch", F.lit("a")), rows.where("seq between 10 and 30").withColumn("batch", F.lit("b"))], 25)
+
+
+# Views: lists, pages, indicators, merges.
+
+TASKS = """tasks AS (SELECT 'task-' || o_orderkey AS task_id, CASE o_orderstatus WHEN 'O' THEN 'RUNNING' WHEN 'F' THEN 'SUCCEEDED' ELSE 'QUEUED' END AS status, 'worker-' || (o_custkey % 7) AS worker_id, 'wf-' || o_custkey AS workflow_id, o_orderpriority AS task_name, epoch_ms(o_orderdate) AS created_ms FROM orders)"""
+
+
+def task_rows(spark, d):
+    o = read(spark, d, "orders")
+    text = lambda p, c: F.concat(F.lit(p), c.cast("string"))
+    status = F.when(F.col("o_orderstatus") == "O", "RUNNING").when(F.col("o_orderstatus") == "F", "SUCCEEDED").otherwise("QUEUED")
+    return o.select(text("task-", F.col("o_orderkey")).alias("task_id"), status.alias("status"), text("worker-", F.col("o_custkey") % 7).alias("worker_id"), text("wf-", F.col("o_custkey")).alias("workflow_id"), F.col("o_orderpriority").alias("task_name"), millis("o_orderdate").alias("created_ms"))
+
+
+@query(f"WITH {TASKS} SELECT task_id, status, created_ms FROM tasks WHERE status = 'RUNNING' AND contains(lower(concat_ws(' ', task_id, task_name, worker_id, workflow_id)), 'urgent worker-3') ORDER BY created_ms, task_id LIMIT 50 OFFSET 10")
+def task_list_search_page(spark, d):
+    rows = views.search(task_rows(spark, d), ["task_id", "task_name", "worker_id", "workflow_id"], "URGENT worker-3", status="RUNNING")
+    return views.page(rows, ["created_ms", "task_id"], 10, 50).select("task_id", "status", "created_ms")
+
+
+@query(f"WITH {TASKS} SELECT status, count(*) AS n, round(100.0 * count(*) / (SELECT count(*) FROM tasks), 6) AS share FROM tasks GROUP BY status")
+def task_status_kpis(spark, d):
+    rows = task_rows(spark, d).groupBy("status").agg(F.count("*").alias("n"))
+    total = Window.partitionBy(F.lit(1))  # three rows of counts
+    return rows.select("status", "n", F.round(views.percent(F.col("n"), F.sum("n").over(total)), 6).alias("share"))
+
+
+@query(f"WITH {TASKS} SELECT t.task_id, coalesce(nullif(CASE WHEN t.status = 'QUEUED' THEN '' ELSE t.worker_id END, ''), 'w' || o.o_custkey) AS worker_id, t.status FROM tasks t LEFT JOIN orders o ON t.task_id = 'task-' || o.o_orderkey")
+def task_merge_coalesce(spark, d):
+    rows = task_rows(spark, d)
+    mine = rows.select("task_id", F.when(F.col("status") == "QUEUED", "").otherwise(F.col("worker_id")).alias("worker_id"), "status")
+    other = read(spark, d, "orders").select(F.concat(F.lit("task-"), F.col("o_orderkey").cast("string")).alias("task_id"), F.concat(F.lit("w"), F.col("o_custkey").cast("string")).alias("worker_id"))
+    return views.filled(mine, other, "task_id")
+
+
+NOW = 1_000_000_000_000
+
+
+@query(f"WITH {TASKS} SELECT task_id, created_ms AS updated_ms FROM tasks WHERE status = 'RUNNING' AND created_ms <> 0 AND {NOW} - created_ms >= 100000000")
+def task_expired_leases(spark, d):
+    return views.expired(task_rows(spark, d).withColumnRenamed("created_ms", "updated_ms"), NOW, 100_000_000).select("task_id", "updated_ms")
+
+
+@query(f"{L}, w AS (SELECT stream_id AS worker_id, max(timestamp_ms) AS heartbeat_ms FROM log GROUP BY ALL) SELECT * FROM w WHERE 1704067200000 + 86400000 - heartbeat_ms <= 3600000")
+def worker_liveness(spark, d):
+    w = log_of(spark, d).groupBy(F.col("stream_id").alias("worker_id")).agg(F.max("timestamp_ms").alias("heartbeat_ms"))
+    return views.alive(w, 1704067200000 + 86400000, 3_600_000)
+
+
+@query("SELECT l_orderkey AS workflow_id, count(*) AS steps, count(*) FILTER (l_linestatus = 'F') AS succeeded, count(*) FILTER (l_returnflag = 'R') AS failed, bool_and(l_linestatus = 'F') AS all_succeeded FROM lineitem GROUP BY ALL")
+def workflow_step_counters(spark, d):
+    done = F.col("l_linestatus") == "F"
+    return read(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("workflow_id")).agg(F.count("*").alias("steps"), F.count_if(done).alias("succeeded"), F.count_if(F.col("l_returnflag") == "R").alias("failed"), F.bool_and(done).alias("all_succeeded"))
+
+
+@query("SELECT l_orderkey AS workflow_id, max(epoch_ms(l_shipdate)) - min(epoch_ms(o_orderdate)) AS latency_ms FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL")
+def workflow_latency(spark, d):
+    rows = read(spark, d, "lineitem").join(read(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    return rows.groupBy(F.col("l_orderkey").alias("workflow_id")).agg((F.max(millis("l_shipdate")) - F.min(millis("o_orderdate"))).alias("latency_ms"))
+
+
+@query("SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS attempt, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) = 1 AS is_next FROM conversations")
+def mailbox_attempts(spark, d):
+    n = F.row_number().over(Window.partitionBy("conv_id", "role").orderBy("turn")).cast("long")
+    return read(spark, d, "conversations").select("conv_id", "turn", "role", n.alias("attempt"), (n == 1).alias("is_next"))
+
+
+# Folds.
+
+EVENTS_SQL = """e AS (SELECT stream_id AS task_id, seq, event_type, CASE event_type WHEN 'signup' THEN 'TaskSubmitted' WHEN 'view' THEN 'TaskStarted' WHEN 'click' THEN 'TaskStarted' WHEN 'error' THEN 'TaskRedelivered' ELSE 'TaskCompleted' END AS kind, event_id, payload FROM log)"""
+
+
+def task_events(spark, d):
+    kind = F.when(F.col("event_type") == "signup", "TaskSubmitted").when(F.col("event_type").isin("view", "click"), "TaskStarted").when(F.col("event_type") == "error", F.when(F.col("event_id") % 4 == 0, "TaskFailed").otherwise("TaskRedelivered")).otherwise("TaskCompleted")
+    rows = log_of(spark, d).withColumn("kind", kind)
+    w = Window.partitionBy("stream_id").orderBy("seq")
+    epoch = F.sum(F.when(F.col("kind") == "TaskStarted", 1).otherwise(0)).over(w) - F.col("event_id") % 2
+    return rows.select(F.col("stream_id").alias("task_id"), "seq", F.col("kind").alias("event_type"), F.when(F.col("kind") == "TaskSubmitted", 0).otherwise(F.greatest(epoch, F.lit(0))).cast("bigint").alias("epoch"), F.concat(F.lit("w"), (F.col("event_id") % 3).cast("string")).alias("worker_id"), F.col("payload").alias("result"), F.col("event_type").alias("error"))
+
+
+@query()
+def fold_task_state(spark, d):
+    return folds.tasks(task_events(spark, d))
+
+
+@query("SELECT CAST(NULL AS VARCHAR) AS task_id WHERE false")
+def checkpoint_equals_full(spark, d):
+    """State at a cut with the later events folded in, against the state of all events: keys that differ."""
+    rows = task_events(spark, d)
+    at_cut = tables.cut(folds.folded(rows.where("seq <= 20"), "task_id"))
+    return views.consistency(folds.tasks(rows), folds.tasks(rows.where("seq > 20"), at_cut), "task_id")
+
+
+@query(f"{L}, c AS (SELECT stream_id, max(seq) AS last_seq FROM log WHERE event_id < 500 GROUP BY ALL) SELECT l.stream_id, count(*) AS records, min(seq) AS from_seq, c.last_seq IS NULL AS new_stream FROM log l LEFT JOIN c USING (stream_id) WHERE seq > coalesce(last_seq, 0) GROUP BY l.stream_id, c.last_seq IS NULL")
+def checkpoint_tail(spark, d):
+    rows = log_of(spark, d)
+    ends = rows.where("event_id < 500").groupBy("stream_id").agg(F.max("seq").alias("last_seq"))
+    tail = rows.join(ends, "stream_id", "left").where("seq > coalesce(last_seq, 0)")
+    return tail.groupBy("stream_id", F.col("last_seq").isNull().alias("new_stream")).agg(F.count("*").alias("records"), F.min("seq").alias("from_seq")).select("stream_id", "records", "from_seq", "new_stream")
+
+
+@query("SELECT 'wf-' || l_orderkey AS workflow_id, l_linenumber AS step_id, CASE WHEN l_returnflag = 'R' THEN CASE WHEN l_linenumber < 3 THEN 'SCHEDULED' ELSE 'FAILED' END WHEN l_linestatus = 'F' THEN 'SUCCEEDED' ELSE 'STARTED' END AS status, l_linenumber AS attempts FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_returnflag, l_linestatus FROM lineitem QUALIFY count(*) OVER (PARTITION BY l_orderkey, l_linenumber) = 1)")
+def fold_workflow_steps(spark, d):
+    once = F.count("*").over(Window.partitionBy("l_orderkey", "l_linenumber"))
+    li = read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus").withColumn("n", once).where("n = 1")
+    li = li.withColumn("workflow_id", F.concat(F.lit("wf-"), F.col("l_orderkey").cast("string"))).withColumn("step_id", F.col("l_linenumber"))
+    last = F.when(F.col("l_returnflag") == "R", "StepFailed").when(F.col("l_linestatus") == "F", "StepSucceeded").otherwise("StepStarted")
+    none = F.lit(None).cast("string")
+    kinds = F.explode(F.array(F.struct(F.lit(1).cast("bigint").alias("seq"), F.lit("StepScheduled").alias("event_type")), F.struct(F.lit(2).cast("bigint").alias("seq"), F.lit("StepStarted").alias("event_type")), F.struct(F.lit(3).cast("bigint").alias("seq"), last.alias("event_type"))))
+    ev = li.select("workflow_id", "step_id", kinds.alias("k"), F.col("l_linenumber").alias("attempt")).select("workflow_id", "step_id", "k.seq", "k.event_type", none.alias("task_id"), "attempt", none.alias("result"), none.alias("error"), F.col("k.seq").alias("timestamp_ms"))
+    return folds.retryable(folds.workflow_steps(ev, li), 3).select("workflow_id", "step_id", "status", "attempts")
+
+
+ACTORS = f"""{L}, a AS (SELECT stream_id AS actor_id, seq, CASE event_type WHEN 'signup' THEN 'ActorOwnershipGranted' WHEN 'view' THEN 'ActorCommandSubmitted' WHEN 'error' THEN 'ActorCommandFailed' WHEN 'purchase' THEN 'ActorSnapshotCreated' ELSE 'ActorCommandApplied' END AS kind, event_type, payload FROM log),
+  b AS (SELECT *, sum(CASE WHEN kind IN ('ActorCommandApplied', 'ActorCommandFailed') THEN 1 ELSE 0 END) OVER (PARTITION BY actor_id ORDER BY seq) AS c FROM a),
+  s AS (SELECT actor_id, coalesce(max(c) FILTER (kind = 'ActorSnapshotCreated'), 0) AS snap FROM b GROUP BY ALL)"""
+
+
+def actor_events(spark, d):
+    kind = F.when(F.col("event_type") == "signup", "ActorOwnershipGranted").when(F.col("event_type") == "view", "ActorCommandSubmitted").when(F.col("event_type") == "error", "ActorCommandFailed").when(F.col("event_type") == "purchase", "ActorSnapshotCreated").otherwise("ActorCommandApplied")
+    rows = log_of(spark, d).select(F.col("stream_id").alias("actor_id"), "seq", kind.alias("event_type"), F.col("payload").alias("state"))
+    w = Window.partitionBy("actor_id").orderBy("seq")
+    count = F.sum(F.when(F.col("event_type").isin("ActorCommandApplied", "ActorCommandFailed"), 1).otherwise(0)).over(w)
+    grants = F.sum(F.when(F.col("event_type") == "ActorOwnershipGranted", 1).otherwise(0)).over(w)
+    return rows.select("actor_id", "seq", "event_type", F.concat(F.lit("w"), (F.col("seq") % 3).cast("string")).alias("worker_id"), grants.alias("epoch"), count.alias("command_seq"), count.alias("command_count"), "state", count.alias("snapshot_count"))
+
+
+@query(
+    f"""{ACTORS} SELECT b.actor_id, arg_max('w' || (seq % 3), seq) FILTER (kind = 'ActorOwnershipGranted') AS owner, count(*) FILTER (kind = 'ActorOwnershipGranted') AS epoch,
+    CAST(coalesce(max(c) FILTER (kind IN ('ActorCommandSubmitted', 'ActorCommandApplied', 'ActorCommandFailed')), 0) AS BIGINT) AS submitted, CAST(coalesce(max(c) FILTER (kind IN ('ActorCommandApplied', 'ActorCommandFailed')), 0) AS BIGINT) AS applied,
+    arg_max(payload, seq) FILTER (kind = 'ActorSnapshotCreated' OR (kind = 'ActorCommandApplied' AND c > snap)) AS state, count(*) FILTER (kind IN ('ActorCommandApplied', 'ActorCommandFailed') AND c > snap) AS replayed_commands FROM b JOIN s USING (actor_id) GROUP BY b.actor_id"""
+)
+def fold_actor_snapshot(spark, d):
+    return folds.actors(actor_events(spark, d), use_snapshot=True)
+
+
+@query(f"{ACTORS} SELECT actor_id, count(*) FILTER (kind IN ('ActorCommandApplied', 'ActorCommandFailed')) AS replayed_commands, arg_max(payload, seq) FILTER (kind = 'ActorCommandApplied') AS state FROM b GROUP BY ALL")
+def fold_actor_full(spark, d):
+    return folds.actors(actor_events(spark, d)).select("actor_id", "replayed_commands", "state")
+
+
+@query(f"{L} SELECT stream_id, arg_max(payload, seq) AS last_payload, arg_max(event_type, seq) AS last_type, string_agg(event_type, ',' ORDER BY seq) AS types FROM log GROUP BY ALL")
+def fold_inference_summary(spark, d):
+    return folds.summary(log_of(spark, d))
+
+
+MODEL = """m AS (SELECT event_type AS model, 'v' || (event_id % 2) AS version, stream_id AS worker_id, stream_id, seq, timestamp_ms, CAST(floor(value) AS BIGINT) AS total_ms, CAST(floor(value / 3) AS BIGINT) AS load_ms, event_id % 3 = 0 AS cache_hit FROM log)"""
+
+
+def model_events(spark, d):
+    text = lambda p, c: F.concat(F.lit(p), c.cast("string"))
+    return log_of(spark, d).select(F.col("event_type").alias("model"), text("v", F.col("event_id") % 2).alias("version"), F.col("stream_id").alias("worker_id"), "stream_id", "seq", "timestamp_ms", F.floor("value").alias("total_ms"), F.floor(F.col("value") / 3).alias("load_ms"), (F.col("event_id") % 3 == 0).alias("cache_hit"))
+
+
+@query(
+    f"""{L}, {MODEL} SELECT model, version, worker_id, count(*) AS requests, count(*) FILTER (cache_hit) AS hits,
+    list_reduce(list(total_ms ORDER BY timestamp_ms, stream_id, seq), lambda a, x: CAST(floor((a * 7 + x * 3) / 10) AS BIGINT)) AS ewma_total_ms,
+    list_reduce(list(load_ms ORDER BY timestamp_ms, stream_id, seq), lambda a, x: CAST(floor((a * 7 + x * 3) / 10) AS BIGINT)) AS ewma_load_ms, max(timestamp_ms) AS updated_ms FROM m WHERE total_ms > 0 GROUP BY ALL"""
+)
+def stats_ewma(spark, d):
+    return folds.model_stats(model_events(spark, d))
+
+
+@query(f"{L}, s AS (SELECT stream_id, seq, payload AS snapshot FROM log WHERE event_type = 'purchase') SELECT l.stream_id, l.seq, s.snapshot FROM log l ASOF LEFT JOIN s ON l.stream_id = s.stream_id AND l.seq >= s.seq")
+def asof_snapshot(spark, d):
+    rows = log_of(spark, d)
+    return views.as_of(rows.select("stream_id", "seq"), rows.where("event_type = 'purchase'").select("stream_id", "seq", F.col("payload").alias("snapshot")), "stream_id", "seq", ["snapshot"])
+
+
+# Graphs.
+
+STEPS = """steps AS (SELECT DISTINCT l_orderkey AS workflow_id, l_linenumber AS step_id FROM lineitem),
+  edge AS (SELECT workflow_id, step_id, step_id - 1 AS depends_on FROM steps WHERE step_id > 1 UNION ALL SELECT workflow_id, step_id, step_id - 3 FROM steps WHERE step_id > 3),
+  known AS (SELECT e.* FROM edge e JOIN steps s ON s.workflow_id = e.workflow_id AND s.step_id = e.depends_on)"""
+
+
+def step_rows(spark, d):
+    s = read(spark, d, "lineitem").select(F.col("l_orderkey").alias("workflow_id"), F.col("l_linenumber").alias("step_id")).distinct()
+    return s.withColumn("depends_on", F.array_compact(F.array(F.when(F.col("step_id") > 1, F.col("step_id") - 1), F.when(F.col("step_id") > 3, F.col("step_id") - 3))))
+
+
+@query(f"WITH {STEPS} SELECT * FROM edge")
+def dag_edges(spark, d):
+    return dag.edges(step_rows(spark, d))
+
+
+@query(f"WITH RECURSIVE {STEPS}, walk AS (SELECT workflow_id, step_id, 0 AS depth FROM steps UNION SELECT k.workflow_id, k.step_id, w.depth + 1 FROM walk w JOIN known k ON k.workflow_id = w.workflow_id AND k.depends_on = w.step_id) SELECT workflow_id, step_id, max(depth) AS depth FROM walk GROUP BY ALL")
+def dag_levels(spark, d):
+    return dag.levels(step_rows(spark, d))
+
+
+@query(f"WITH {STEPS}, st AS (SELECT l_orderkey AS workflow_id, l_linenumber AS step_id, max(l_linestatus) = 'F' AS won FROM lineitem GROUP BY ALL) SELECT workflow_id, step_id FROM st WHERE NOT won AND NOT EXISTS (SELECT 1 FROM edge e WHERE e.workflow_id = st.workflow_id AND e.step_id = st.step_id AND NOT EXISTS (SELECT 1 FROM st d WHERE d.workflow_id = e.workflow_id AND d.step_id = e.depends_on AND d.won))")
+def wf_ready_steps(spark, d):
+    won = F.max("l_linestatus") == "F"
+    states = read(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("workflow_id"), F.col("l_linenumber").alias("step_id")).agg(F.when(won, "SUCCEEDED").otherwise("SCHEDULED").alias("status"))
+    return dag.ready(step_rows(spark, d), states)
+
+
+@query(f"WITH {STEPS}, u AS (SELECT DISTINCT workflow_id FROM edge ANTI JOIN steps s ON s.workflow_id = edge.workflow_id AND s.step_id = edge.depends_on), r AS (SELECT workflow_id, max(step_id) AS last FROM steps GROUP BY ALL) SELECT workflow_id, concat_ws(',', CASE WHEN last < 2 THEN 'missing result step' END, CASE WHEN workflow_id IN (SELECT workflow_id FROM u) THEN 'unknown dependency' END) AS errors FROM r WHERE workflow_id NOT IN (SELECT workflow_id FROM steps GROUP BY workflow_id HAVING count(*) < max(step_id))")
+def dag_validate(spark, d):
+    steps = step_rows(spark, d)
+    whole = steps.groupBy("workflow_id").agg(F.count("*").alias("n"), F.max("step_id").alias("m")).where("n = m").select("workflow_id")
+    return dag.validated(steps.join(whole, "workflow_id"), whole.withColumn("result_step_id", F.lit(2)))
+
+
+# Placement and caches.
+
+
+@query("SELECT p_partkey AS model, arg_min(s_suppkey, (-(100 * (4 - s_suppkey % 4) - 10 * (s_suppkey % 4) + CASE WHEN (p_partkey + s_suppkey) % 5 = 0 THEN 1000 ELSE 0 END)) * 100000 + s_suppkey) AS worker_id FROM part JOIN supplier ON p_size % 10 = s_suppkey % 10 GROUP BY ALL")
+def placement_locality(spark, d):
+    pairs = read(spark, d, "part").select(F.col("p_partkey").alias("model"), (F.col("p_size") % 10).cast("bigint").alias("pool")).join(read(spark, d, "supplier").select(F.col("s_suppkey").alias("worker_id"), (F.col("s_suppkey") % 10).alias("pool")), "pool")
+    score = views.locality_score(F.lit(4), F.col("worker_id") % 4, (F.col("model") + F.col("worker_id")) % 5 == 0, F.lit(False))
+    return views.best(pairs.withColumn("score", score), "model", F.desc("score"), "worker_id").select("model", "worker_id")
+
+
+@query("SELECT p_partkey AS model, arg_min(s_suppkey, (25 + CASE WHEN (p_partkey + s_suppkey) % 5 = 0 THEN 0 ELSE 100 END + 50 * (s_suppkey % 4)) * 100000 + s_suppkey) AS worker_id FROM part JOIN supplier ON p_size % 10 = s_suppkey % 10 GROUP BY ALL")
+def placement_predicted(spark, d):
+    pairs = read(spark, d, "part").select(F.col("p_partkey").alias("model"), (F.col("p_size") % 10).cast("bigint").alias("pool")).join(read(spark, d, "supplier").select(F.col("s_suppkey").alias("worker_id"), (F.col("s_suppkey") % 10).alias("pool")), "pool")
+    ms = views.predicted_ms(F.lit(None).cast("bigint"), (F.col("model") + F.col("worker_id")) % 5 != 0, F.lit(None).cast("bigint"), F.lit(0), F.col("worker_id") % 4, F.lit(False))
+    return views.best(pairs.withColumn("ms", ms), "model", "ms", "worker_id").select("model", "worker_id")
+
+
+@query(f"{L}, c AS (SELECT stream_id, event_id AS entry, length AS size, sum(length) OVER (PARTITION BY stream_id ORDER BY timestamp_ms DESC, event_id ROWS UNBOUNDED PRECEDING) AS used FROM log WHERE length <= 600) SELECT stream_id, entry, size FROM c WHERE used <= 600")
+def lru_keep_set(spark, d):
+    return views.kept_by_recency(log_of(spark, d).withColumnRenamed("event_id", "entry").withColumnRenamed("length", "size"), "stream_id", "size", "timestamp_ms", 600).select("stream_id", "entry", "size")
+
+
+@query(f"{L} SELECT stream_id, event_type, max(seq) AS version, arg_max(payload, seq) AS payload FROM log GROUP BY ALL")
+def materializer_coalesce(spark, d):
+    rows = log_of(spark, d).select("stream_id", "event_type", F.col("seq").alias("version"), "payload")
+    return tables.upserted(rows.where("version <= 10"), rows.where("version > 10"), ["stream_id", "event_type"], "version")
+
+
+# Benchmark figures.
+
+
+@query("SELECT event_type, CAST(quantile_disc(CAST(floor(value * 100) AS BIGINT), 0.5) AS BIGINT) AS p50, CAST(quantile_disc(CAST(floor(value * 100) AS BIGINT), 0.95) AS BIGINT) AS p95, CAST(quantile_disc(CAST(floor(value * 100) AS BIGINT), 0.99) AS BIGINT) AS p99 FROM events GROUP BY ALL")
+def bench_percentiles(spark, d):
+    rows = read(spark, d, "events").withColumn("v", F.floor(F.col("value") * 100))
+    return rows.groupBy("event_type").agg(*[views.nearest_rank("v", p).alias(f"p{p}") for p in (50, 95, 99)])
+
+
+@query("SELECT o_orderpriority AS policy, count(*) AS requests, round(avg(CASE WHEN o_orderstatus = 'F' THEN 1.0 ELSE 0.0 END), 3) AS hit_rate, round(avg(CASE WHEN o_totalprice > 100000 THEN 1.0 ELSE 0.0 END), 3) AS slo_violation_rate, CAST(quantile_disc(CAST(floor(o_totalprice) AS BIGINT), 0.95) AS BIGINT) AS p95 FROM orders GROUP BY ALL")
+def bench_policy_ablation(spark, d):
+    rate = lambda c: F.round(F.avg(F.when(c, 1.0).otherwise(0.0)), 3)
+    o = read(spark, d, "orders").withColumn("v", F.floor("o_totalprice"))
+    return o.groupBy(F.col("o_orderpriority").alias("policy")).agg(F.count("*").alias("requests"), rate(F.col("o_orderstatus") == "F").alias("hit_rate"), rate(F.col("o_totalprice") > 100000).alias("slo_violation_rate"), views.nearest_rank("v", 95).alias("p95"))
+
+
+@query("WITH a AS (SELECT p_partkey AS name, floor(p_retailprice) AS baseline, floor(p_retailprice + p_size * 5) AS current FROM part) SELECT name, baseline, current, round(current / baseline, 4) AS ratio FROM a WHERE baseline > 0 AND current / baseline > 1.15")
+def bench_regressions(spark, d):
+    p = read(spark, d, "part")
+    before = p.select(F.col("p_partkey").alias("name"), F.floor("p_retailprice").cast("double").alias("ns"))
+    after = p.select(F.col("p_partkey").alias("name"), F.floor(F.col("p_retailprice") + F.col("p_size") * 5).cast("double").alias("ns"))
+    return views.regressions(before, after, "name", "ns", 1.15)
+
+
+@query("SELECT doc_id, sha256(text) AS digest, strlen(text) AS size, CASE WHEN strlen(text) > 4096 THEN 'results/' || sha256(text) || '.json' END AS ref FROM documents")
+def result_spill(spark, d):
+    out = tables.spilled(read(spark, d, "documents").select("doc_id", "text"), "text")
+    return out.select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("digest"), "size", "ref")
+
+
+@query("SELECT event_id, CASE WHEN json_valid(props) THEN 'json' ELSE 'text' END AS kind FROM events")
+def payload_classify(spark, d):
+    return read(spark, d, "events").select("event_id", views.classified(F.col("props")).alias("kind"))
+
+
+@query("SELECT conv_id, turn, 'mock:chat:v1:' || text AS reply FROM conversations")
+def model_mock_udf(spark, d):
+    return read(spark, d, "conversations").select("conv_id", "turn", udfs.mock_model("chat", "v1")("text").alias("reply"))
+
+
+@query("SELECT conv_id, turn, CAST(sum(strlen(text)) OVER (PARTITION BY conv_id ORDER BY turn) AS BIGINT) AS total FROM conversations")
+def actor_stateful_udf(spark, d):
+    return udfs.run_actor(read(spark, d, "conversations").select("conv_id", "turn", "text"), udfs.Adder, "conv_id", "turn", "text", "total")
+
+
+# Streams.
+
+
+@query("SELECT user_id, event_type, json_extract_string(props, '$.k') AS k, min(event_id) AS event_id FROM events GROUP BY ALL")
+def stream_dedup(spark, d):
+    rows = queries.stream(spark, d, "events").select("user_id", "event_type", F.get_json_object("props", "$.k").alias("k"), "event_id")
+    return queries.first_of_each(rows, ["user_id", "event_type", "k"], "event_id")
+
+
+@query("SELECT user_id, event_type, max(event_id) AS event_id, arg_max(props, event_id) AS props FROM events GROUP BY ALL")
+def stream_materialize(spark, d):
+    return queries.upserts(queries.stream(spark, d, "events").select("user_id", "event_type", "event_id", "props"), ["user_id", "event_type"], "event_id")
+
+
+@query("SELECT user_id AS task_id, CASE WHEN count(*) FILTER (event_type = 'signup') = 0 THEN NULL ELSE 'QUEUED' END AS state FROM (SELECT * FROM events WHERE event_type IN ('signup')) GROUP BY ALL")
+def stream_task_fold(spark, d):
+    def submitted(batch):
+        none = F.lit(None).cast("string")
+        return batch.select(F.col("user_id").alias("task_id"), F.col("event_id").alias("seq"), F.lit("TaskSubmitted").alias("event_type"), F.lit(0).cast("bigint").alias("epoch"), none.alias("worker_id"), none.alias("result"), none.alias("error"))
+
+    rows = queries.stream(spark, d, "events").where("event_type = 'signup'").select("user_id", "event_id")
+    return queries.task_states(submitted, rows).select("task_id", F.col("state.status").alias("state"))
+
+
+@query("SELECT CAST(epoch_us(time_bucket(INTERVAL 1 DAY, ts)) // 1000 AS BIGINT) AS start_ms, event_type, count(*) AS n FROM events GROUP BY ALL")
+def stream_window_counts(spark, d):
+    rows = queries.stream(spark, d, "events").select(F.timestamp_millis(millis("ts")).alias("time"), "event_type")
+    out = queries.window_counts(rows, "time", "event_type", "1 day", "1 hour")
+    return out.select(F.unix_millis("start").alias("start_ms"), "event_type", "n")
