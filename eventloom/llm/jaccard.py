@@ -5,8 +5,8 @@ that many documents share are counted over all documents and come last), and eac
 its prefix, by size and position. Linked sets share a prefix shingle. Lists skip by relations of their sets:
 
 * Equal sets are one set, by a 128-bit sum of shingle hashes; a slice of documents offers it once.
-* Within a list, sets are ordered by size; a set is first compared to the last leader, a set of almost its size that began
-  a run, and to the set before it. What the leader's answer reaches need not be asked again: pairs inside a component are skipped.
+* Within a list, sets are ordered by size; a set is first compared to a few centres of the list, the last leader (a set of almost its
+  size that began a run) and the set before it. What their answers reach need not be asked again: pairs inside a component are skipped.
 * Only lists that then still hold several components are probed whole. Their entries are blocked by position: a block whose
   best position can't leave enough shingles for the overlap is skipped, and within a block all but a range of sizes.
 
@@ -32,6 +32,8 @@ BUCKET_BYTES = 8_000_000
 #: Shingles in so many documents of a slice are reported; those in so many of all may come last in the order, the commonest first among
 #: HEAVY. This orders the index only; answers don't depend on it.
 LOCAL, COMMON, HEAVY = 4, 40, 100_000
+#: Sets of a list that all its others are compared to at first.
+CENTRES = 3
 #: Ids that may be broadcast (8 bytes each); more are joined by a shuffle.
 BROADCAST_IDS = 500_000
 INDEX = "kind int, bucket int, packed binary, doc_id long, n long, f1 long, f2 long"
@@ -137,7 +139,7 @@ def fits(n: int, p: int, m: int, q: int, percent: int) -> bool:
 
 
 def led(percent: int):
-    """In a bucket's lists: pairs with the leader and the neighbour (kind 0), and the entries of longer lists (kind 1)."""
+    """In a bucket's lists: pairs with centres, leader and neighbour (kind 0), and the entries of longer lists (kind 1)."""
 
     def run(group: pa.Table) -> pa.Table:
         out: list[list] = [[], [], [], [], [], []]
@@ -161,19 +163,14 @@ def led(percent: int):
         for x, y in zip(begin.tolist(), np.append(begin[1:], len(tokens)).tolist(), strict=True):
             if y - x < 2:
                 continue
+            # the entries that stand first in their own prefixes have the fewest rare shingles: the centres of a group of near copies
+            centres = sorted(range(x, y), key=lambda i: (P[i], I[i]))[:CENTRES]
             lead = x
-            for i in range(x + 1, y):
-                pairs = []
-                if fits(N[i], P[i], N[lead], P[lead], percent):
-                    pairs.append(lead)
-                    if i - 1 != lead and fits(N[i], P[i], N[i - 1], P[i - 1], percent):
-                        pairs.append(i - 1)
-                else:
-                    if i - 1 != lead and fits(N[i], P[i], N[i - 1], P[i - 1], percent):
-                        pairs.append(i - 1)
+            for i in range(x, y):
+                if i > x and not fits(N[i], P[i], N[lead], P[lead], percent):
                     lead = i
-                for j in pairs:
-                    if I[i] != I[j]:
+                for j in {lead, max(i - 1, x), *centres}:
+                    if I[i] != I[j] and fits(N[i], P[i], N[j], P[j], percent):
                         for c, v in zip(out, (0, min(I[i], I[j]), max(I[i], I[j]), None, None, None), strict=True):
                             c.append(v)
             if y - x > 2:
@@ -187,28 +184,59 @@ def led(percent: int):
     return run
 
 
-def probed(percent: int, width: int = 8):
-    """All pairs of a list that may link, of different components: by blocks of position, and ranges of size within."""
+def probed(percent: int, width: int = 8, small: int = 128):
+    """All pairs of a list that may link, of different components. Rows come sorted by list.
 
-    def run(group: pa.Table) -> pa.Table:
-        n, pos, ids, comp = (group.column(c).to_numpy().astype(np.int64) for c in ("n", "pos", "a", "comp"))
-        left, right = [], []
-        blocks = {int(b): np.flatnonzero(pos // width == b) for b in np.unique(pos // width)}
-        blocks = {b: i[np.argsort(n[i], kind="stable")] for b, i in blocks.items()}
-        for i in range(len(n)):
-            for b, at in blocks.items():
-                least = n[at[0]] if len(at) else 0
-                # the most that sets of this block can still share with this one, against the least that they must
-                if min(n[i] - pos[i], n[at[-1]] - b * width) < needed(n[i], max(least, -(-percent * n[i] // 100)), percent):
+    A short list is compared whole; a longer one by blocks of position, and ranges of size within.
+    """
+
+    def pairs(n: np.ndarray, pos: np.ndarray, comp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        def sift(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            ok = (comp[i] != comp[j]) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])) & (np.minimum(n[i] - pos[i], n[j] - pos[j]) >= needed(n[i], n[j], percent))
+            return i[ok], j[ok]
+
+        if len(n) <= small:
+            return sift(*np.triu_indices(len(n), 1))
+        found = []
+        number = pos // width
+        for block in np.unique(number):
+            at = np.flatnonzero(number == block)
+            at = at[np.argsort(n[at], kind="stable")]
+            sizes = n[at]
+            for i in range(len(n)):
+                # the most that this block's sets can still share with this one, against the least that they must
+                lo = np.searchsorted(sizes, -(-percent * n[i] // 100), side="left")
+                hi = np.searchsorted(sizes, n[i], side="right")
+                if lo == hi or min(n[i] - pos[i], sizes[hi - 1] - block * width) < needed(n[i], sizes[lo], percent):
                     continue
-                lo, hi = np.searchsorted(n[at], [-(-percent * n[i] // 100), n[i]], side="left")[0], np.searchsorted(n[at], n[i], side="right")
                 j = at[lo:hi]
-                j = j[(comp[j] != comp[i]) & ((n[j] < n[i]) | (j < i))]
-                j = j[np.minimum(n[i] - pos[i], n[j] - pos[j]) >= needed(n[i], n[j], percent)]
-                left.append(np.full(len(j), ids[i]))
-                right.append(ids[j])
-        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right))
-        return pa.table([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+                j = j[(n[j] < n[i]) | (j < i)]
+                found.append(sift(np.full(len(j), i), j))
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def linked(columns: list[np.ndarray]) -> pa.RecordBatch:
+            lists, ids, n, pos, comp = columns
+            first = np.flatnonzero(np.concatenate([[True], lists[1:] != lists[:-1]])) if len(lists) else np.zeros(0, np.int64)
+            left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for x, y in zip(first.tolist(), [*first[1:].tolist(), len(lists)], strict=True):
+                i, j = pairs(n[x:y], pos[x:y], comp[x:y])
+                left.append(ids[x + i])
+                right.append(ids[x + j])
+            a, b = np.concatenate(left), np.concatenate(right)
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+        held = None
+        for batch in batches:
+            columns = [batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("list", "a", "n", "pos", "comp")]
+            if held is not None:
+                columns = [np.concatenate(x) for x in zip(held, columns, strict=True)]
+            last = np.searchsorted(columns[0], columns[0][-1], side="left") if len(columns[0]) else 0
+            held = [c[last:] for c in columns]  # the last list may go on
+            if last:
+                yield linked([c[:last] for c in columns])
+        if held is not None:
+            yield linked(held)
 
     return run
 
@@ -286,8 +314,12 @@ def jaccard_join(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT) -> D
     labels = components(links).select(F.col("v").alias("a"), F.col("l"))
     entries = entries.join(labels, "a", "left").select("list", "a", "n", "pos", F.coalesce("l", "a").alias("comp"))
     open_lists = stored(entries.groupBy("list").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("list"), "open")
-    rest = entries.join(open_lists, "list").groupBy("list").applyInArrow(probed(percent), "a long, b long").distinct().join(pairs, ["a", "b"], "left_anti")
-    links = links.union(verified(stored(rest, "pairs"), known, gram, percent))
+    rest = entries.join(open_lists, "list").repartition("list").sortWithinPartitions("list").mapInArrow(probed(percent), "a long, b long").distinct().join(pairs, ["a", "b"], "left_anti")
+    more = verified(stored(rest, "pairs"), known, gram, percent)
+    # components found first stand for their sets: each set's link to its component, and links between components
+    one, two = labels.select("a", F.col("l").alias("x")), labels.select(F.col("a").alias("b"), F.col("l").alias("y"))
+    across = more.join(one, "a", "left").join(two, "b", "left").select(F.coalesce("x", "a").alias("a"), F.coalesce("y", "b").alias("b")).distinct()
+    links = labels.select("a", F.col("l").alias("b")).union(across).where("a <> b")
     # equal sets are one class, named by its smallest id; links join classes
     full = members.where("n > 0")
     classes = stored(full.groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("rep")), "classes")
