@@ -160,7 +160,7 @@ def led(percent: int):
         begin = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]])) if len(tokens) else np.zeros(0, np.int64)
         bucket = int(group.column("bucket")[0].as_py()) << 32
         N, P, I = n.tolist(), pos.tolist(), ids.tolist()
-        for x, y in zip(begin.tolist(), np.append(begin[1:], len(tokens)).tolist(), strict=True):
+        for x, y in zip(begin.tolist(), np.append(begin[1:], len(tokens)).tolist(), strict=False):  # no list, one end
             if y - x < 2:
                 continue
             # the entries that stand first in their own prefixes have the fewest rare shingles: the centres of a group of near copies
@@ -219,7 +219,7 @@ def probed(percent: int, width: int = 8, small: int = 128):
             lists, ids, n, pos, comp = columns
             first = np.flatnonzero(np.concatenate([[True], lists[1:] != lists[:-1]])) if len(lists) else np.zeros(0, np.int64)
             left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for x, y in zip(first.tolist(), [*first[1:].tolist(), len(lists)], strict=True):
+            for x, y in zip(first.tolist(), [*first[1:].tolist(), len(lists)], strict=False):
                 i, j = pairs(n[x:y], pos[x:y], comp[x:y])
                 left.append(ids[x + i])
                 right.append(ids[x + j])

@@ -111,6 +111,8 @@ def offered(buckets: int):
             order = np.lexsort((np.arange(len(lines)), two, one))
             new = np.concatenate([[True], (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1])])
             again, keep = lines[order[~new]], np.sort(order[new])
+            first = lines[order[new]][np.cumsum(new) - 1][~new]
+            again = again[(s.ids[s.doc[again]] != s.ids[s.doc[first]]) | (s.no[again] != s.no[first])]
             spread(out, s.ids[s.doc[again]] % buckets, 0, lambda i: s.packed(np.sort(again[i])))
             lines, one, two, n = lines[keep], one[keep], two[keep], n[keep]
             spread(out, (one % np.uint64(buckets)).astype(np.int64), 1, lambda i: s.packed(lines[i], one[i], two[i]))
@@ -176,7 +178,9 @@ def met(group: pa.Table) -> pa.Table:
     if by[1]:
         ids, fps, no, one, two = opened(by[1])
         order = np.lexsort((no, ids, two, one))
-        again = order[~groups(one[order], two[order])]
+        new = groups(one[order], two[order])
+        first = order[np.flatnonzero(new)[np.cumsum(new) - 1]]
+        again = order[(ids[order] != ids[first]) | (no[order] != no[first])]
         mark(ids[again], fps[again], no[again], 0, out)
     if by[2]:
         ids, fps, no, keys, low = opened(by[2])
@@ -288,7 +292,7 @@ def line_dedup(docs: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
     Earlier is by (doc_id, line number); lines are split at \\n and judged on the input; characters are code points, those that aren't
     white space count for LEAST. Returns doc_id, n_lines, n_removed and kept_text (the other lines, joined by \\n), a row for each row
     of docs, and extra: a struct of the columns that `extra` names, as they are. A null text stays null. A row without doc_id keeps all lines and removes none.
-    Rows that repeat with the same doc_id are one document each: equal ones come out alike, without removing from each other.
+    Rows that share a doc_id are one document: lines of the same number don't remove each other, so rows that repeat come out alike.
     """
     size = text_bytes(docs)
     buckets = max(32, size // BUCKET_BYTES)

@@ -24,8 +24,9 @@ from .labelled import PER_CLASS, independent, texts_of, training
 #: Kinds of patterns: whole words (0) and beginnings of so many letters.
 KINDS = (0, 4, 5, 6, 7)
 GROUPS = 6
-#: Patterns at most; in toxic documents at least, how much likelier there than elsewhere, and the least likelihood ratio (G).
-PATTERNS, LEAST, LIFT, SURE = 4096, 3, 8.0, 24.0
+#: Patterns at most; in toxic documents at least, how much likelier there than elsewhere, and the least likelihood ratio (G) as a
+#: multiple of the logarithm of the documents that patterns are mined from.
+PATTERNS, LEAST, LIFT, SURE = 4096, 3, 8.0, 2.5
 THRESHOLD = 0.3
 
 
@@ -78,7 +79,7 @@ def mined(sample: DataFrame, n_pos: int, n_neg: int) -> list[str]:
     lift = ((F.col("pos") + 0.5) / (n_pos + 1)) / ((F.col("neg") + 0.5) / (n_neg + 1))
     share = n_pos / (n_pos + n_neg)
     part = lambda c, p: F.when(F.col(c) > 0, F.col(c) * F.log(F.col(c) / ((F.col("pos") + F.col("neg")) * F.lit(p)))).otherwise(0.0)
-    rows = found.withColumn("worth", 2 * (part("pos", share) + part("neg", 1 - share))).where((F.col("pos") >= LEAST) & (lift >= LIFT) & (F.col("worth") >= SURE))
+    rows = found.withColumn("worth", 2 * (part("pos", share) + part("neg", 1 - share))).where((F.col("pos") >= LEAST) & (lift >= LIFT) & (F.col("worth") >= SURE * math.log(n_pos + n_neg)))
     return [r["pattern"] for r in rows.orderBy(F.desc("worth"), "pattern").limit(PATTERNS).collect()]
 
 
