@@ -26,7 +26,7 @@ KINDS = (0, 4, 5, 6, 7)
 GROUPS = 6
 #: Patterns at most; in toxic documents at least, how much likelier there than elsewhere, and the least likelihood ratio (G) as a
 #: multiple of the logarithm of the documents that patterns are mined from.
-PATTERNS, LEAST, LIFT, SURE = 4096, 3, 8.0, 2.5
+PATTERNS, LEAST, LIFT, SURE = 4096, 3, 8.0, 3.0
 THRESHOLD = 0.3
 
 
@@ -107,9 +107,9 @@ class LabelModel:
         at = at.ravel()
         p = np.bincount(at, weights=y, minlength=len(kinds)) / times  # begins where labels point
         p = (p * times + 0.5) / (times + 1)
+        self.prior = float(np.clip(y.mean(), 0.01, 0.99))  # the labels' share; the voters' own would drift
         answers = np.stack([kinds == a for a in (-1, 0, 1)]).astype(float)
         for _ in range(rounds):
-            self.prior = float(np.clip((p * times).sum() / times.sum(), 0.01, 0.99))
             self.table = np.empty((2, 3, v.shape[1]))
             self.weight = np.ones(v.shape[1])
             together = np.zeros((v.shape[1], v.shape[1]))
@@ -127,6 +127,7 @@ class LabelModel:
 
     def posterior(self, v: np.ndarray) -> np.ndarray:
         logs = np.log(self.table[1]) - np.log(self.table[0])
+        logs[0], logs[1], logs[2] = np.minimum(logs[0], 0), 0, np.maximum(logs[2], 0)  # no voter speaks against what it says, or by abstaining
         said = logs[v.astype(int) + 1, np.arange(v.shape[1])]
         z = math.log(self.prior / (1 - self.prior)) + said @ self.weight
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
@@ -173,7 +174,7 @@ def fitted(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tu
         share = (y.sum() + 1) / (len(y) + 2)
         line.bias = math.log(share / (1 - share))
         return patterns, line
-    v = votes(matches, patterns)
+    v = np.column_stack([votes(matches, patterns), (2 * y - 1).astype(np.int8)])  # a label is one more voter, that may err
     return patterns, Linear(matches, LabelModel(v, y).posterior(v), len(patterns))
 
 
