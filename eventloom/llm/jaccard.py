@@ -250,6 +250,46 @@ def shingled(gram: int):
     return run
 
 
+def bits_of(n: int) -> int:
+    return 1 << max(10, int(2 * n - 1).bit_length())
+
+
+def parities(gram: int):
+    """A bitmap of each set, of twice as many bits as shingles or more: each shingle flips one bit."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            s = Sets(batch, gram)
+            maps = []
+            for a, b in zip(s.offsets[:-1], s.offsets[1:], strict=True):
+                size = bits_of(b - a)
+                maps.append(np.packbits(np.bincount((s.hashes[a:b] % np.uint64(size)).astype(np.int64), minlength=size).astype(np.uint8) & 1).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(s.ids), pa.array(s.n.astype(np.int64)), pa.array(maps, pa.binary())], names=["doc_id", "n", "map"])
+
+    return run
+
+
+def near(percent: int):
+    """The pairs whose bitmaps differ in no more bits than linked sets may: a shingle that one set lacks flips at most one bit."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yes = []
+            for n, m, x, y in zip(*(batch.column(c).to_pylist() for c in ("n", "m", "x", "y")), strict=True):
+                x, y = np.unpackbits(np.frombuffer(x, np.uint8)), np.unpackbits(np.frombuffer(y, np.uint8))
+                while len(x) != len(y):  # the larger one folds onto half its places
+                    if len(x) > len(y):
+                        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+                    else:
+                        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+                both = -(-percent * (n + m) // (100 + percent))
+                yes.append(int((x ^ y).sum()) <= n + m - 2 * both)
+            at = pa.array(np.flatnonzero(yes))
+            yield pa.RecordBatch.from_arrays([batch.column("a").take(at), batch.column("b").take(at)], names=["a", "b"])
+
+    return run
+
+
 def compared(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -264,12 +304,19 @@ def compared(percent: int):
     return run
 
 
-def verified(pairs: DataFrame, texts: DataFrame, gram: int, percent: int) -> DataFrame:
-    """The pairs that link, by their whole sets. pairs and the result are tables."""
+def named(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The texts of the documents that pairs name."""
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    if pairs.count() * 2 <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    sets = texts.join(ids, "doc_id", "left_semi").mapInArrow(shingled(gram), "doc_id long, set binary")
+    return texts.join(F.broadcast(ids) if pairs.count() * 2 <= BROADCAST_IDS else ids, "doc_id", "left_semi")
+
+
+def verified(pairs: DataFrame, texts: DataFrame, gram: int, percent: int) -> DataFrame:
+    """The pairs that link: those that small bitmaps can't rule out, by their whole sets. pairs and the result are tables."""
+    maps = named(pairs, texts).mapInArrow(parities(gram), "doc_id long, n long, map binary")
+    half = pairs.join(maps.select(F.col("doc_id").alias("a"), "n", F.col("map").alias("x")).hint("merge"), "a")
+    both = half.join(maps.select(F.col("doc_id").alias("b"), F.col("n").alias("m"), F.col("map").alias("y")).hint("merge"), "b")
+    pairs = stored(both.select("a", "b", "n", "m", "x", "y").mapInArrow(near(percent), "a long, b long").distinct(), "near")
+    sets = named(pairs, texts).mapInArrow(shingled(gram), "doc_id long, set binary")
     half = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("set").alias("x")).hint("merge"), "a")
     both = half.join(sets.select(F.col("doc_id").alias("b"), F.col("set").alias("y")).hint("merge"), "b")
     return stored(both.select("a", "b", "x", "y").mapInArrow(compared(percent), "a long, b long").distinct(), "links")
@@ -324,8 +371,7 @@ def jaccard_join(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT) -> D
     full = members.where("n > 0")
     classes = stored(full.groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("rep")), "classes")
     of = stored(full.join(classes, ["f1", "f2", "n"]).select("doc_id", "rep"), "members")
-    named = of.select(F.col("doc_id"), "rep")
-    ends = links.join(named.select(F.col("doc_id").alias("a"), F.col("rep").alias("ra")), "a").join(named.select(F.col("doc_id").alias("b"), F.col("rep").alias("rb")), "b")
+    ends = links.join(of.select(F.col("doc_id").alias("a"), F.col("rep").alias("ra")), "a").join(of.select(F.col("doc_id").alias("b"), F.col("rep").alias("rb")), "b")
     reps = components(ends.where("ra <> rb").select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct())
     part = full.select("doc_id", "n").join(of.distinct(), "doc_id").join(reps.select(F.col("v").alias("rep"), "l"), "rep", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("l", "rep").alias("component_id"))
     none = members.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
