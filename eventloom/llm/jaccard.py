@@ -312,11 +312,11 @@ def named(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 def verified(pairs: DataFrame, texts: DataFrame, gram: int, percent: int) -> DataFrame:
     """The pairs that link: those that small bitmaps can't rule out, by their whole sets. pairs and the result are tables."""
-    maps = named(pairs, texts).mapInArrow(parities(gram), "doc_id long, n long, map binary")
+    maps = stored(named(pairs, texts).mapInArrow(parities(gram), "doc_id long, n long, map binary"), "maps")
     half = pairs.join(maps.select(F.col("doc_id").alias("a"), "n", F.col("map").alias("x")).hint("merge"), "a")
     both = half.join(maps.select(F.col("doc_id").alias("b"), F.col("n").alias("m"), F.col("map").alias("y")).hint("merge"), "b")
     pairs = stored(both.select("a", "b", "n", "m", "x", "y").mapInArrow(near(percent), "a long, b long").distinct(), "near")
-    sets = named(pairs, texts).mapInArrow(shingled(gram), "doc_id long, set binary")
+    sets = stored(named(pairs, texts).mapInArrow(shingled(gram), "doc_id long, set binary"), "sets")
     half = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("set").alias("x")).hint("merge"), "a")
     both = half.join(sets.select(F.col("doc_id").alias("b"), F.col("set").alias("y")).hint("merge"), "b")
     return stored(both.select("a", "b", "x", "y").mapInArrow(compared(percent), "a long, b long").distinct(), "links")
