@@ -29,8 +29,8 @@ def distinct_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, the one of the smallest doc_id; those without doc_id stay."""
-    groups = jaccard.jaccard_join(docs)
+    """One document of each group of near copies (five-word shingles, similarity 0.8), the one of the smallest doc_id; those without doc_id stay."""
+    groups = jaccard.jaccard_join(docs, gram=5, percent=80)
     gone = groups.where("component_id <> doc_id").select("doc_id").distinct()
     return docs.join(common.stored(gone, "copies"), "doc_id", "left_anti").select(*docs.columns)
 
