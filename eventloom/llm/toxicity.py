@@ -10,6 +10,9 @@ a linear classifier on the matches is trained with; the classifier scores every
 from __future__ import annotations
 
 import math
+import re
+import sys
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,14 +31,37 @@ GROUPS = 6
 #: multiple of the logarithm of the documents that patterns are mined from.
 PATTERNS, LEAST, LIFT, SURE = 4096, 3, 8.0, 3.0
 THRESHOLD = 0.3
+#: Letters of a word at most; a longer piece is several words.
+LONG = 40
+MARKS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c)[0] == "M")
+#: Thai, Lao, Tibetan, Burmese, Khmer, kana and Han.
+SCRIPTS = "\u0e00-\u0eff\u0f00-\u0fff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff"
+PIECE = re.compile(rf"[^\W_](?:[^\W_]|[{MARKS}])*")
+UNSPACED = re.compile(f"[{SCRIPTS}]")
+RUN = re.compile(f"[{SCRIPTS}]+|[^{SCRIPTS}]+")
+#: Text bytes whose patterns, all of them, a Python worker holds at once.
+MINED_BYTES = 1_000_000
 
 
-def patterns_of(word: str) -> list[str]:
-    """The patterns of a word: itself in lower case without what surrounds its letters, and its beginnings."""
-    w = word.lower()
-    if not w.isalnum():
-        w = "".join(c if c.isalnum() else " " for c in w).strip().split(" ")[0]
-    return [f"{k}:{w[:k] if k else w}" for k in KINDS if w and len(w) > (k and k - 1)]
+def pieces_of(word: str) -> list[str]:
+    """The runs of letters, digits and their combining marks; what is written without spaces apart from the rest."""
+    return [word] if word.isascii() and word.isalnum() else [r for p in PIECE.findall(word) for r in RUN.findall(p)]
+
+
+def patterns_of(word: str) -> Iterator[str]:
+    """The patterns of a word, in lower case: each of its pieces and that one's beginnings.
+
+    A piece without spaces between its words (by its script, or as long as no word is) may begin a word anywhere: its runs of so many
+    characters count as beginnings, and shorter ones as words.
+    """
+    for w in pieces_of(word.lower()):
+        if len(w) <= LONG and not UNSPACED.match(w):
+            yield from (f"{k}:{w[:k] if k else w}" for k in KINDS if len(w) > (k and k - 1))
+            continue
+        yield f"0:{w}"
+        for n in range(1, KINDS[-1] + 1):
+            kind = n if n in KINDS else 0
+            yield from {f"{kind}:{w[i : i + n]}" for i in range(len(w) - n + 1)}
 
 
 def document_patterns(texts: pa.Array, wanted: dict[str, int] | None) -> tuple[np.ndarray, np.ndarray, list[str]]:
@@ -65,7 +91,7 @@ def document_patterns(texts: pa.Array, wanted: dict[str, int] | None) -> tuple[n
 
 
 def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in slices(batches):
+    for b in slices(batches, most=MINED_BYTES):
         y = b.column("y").to_numpy(zero_copy_only=False)
         doc, pattern, names = document_patterns(b.column("text"), None)
         pos = np.bincount(pattern[y[doc] == 1], minlength=len(names))

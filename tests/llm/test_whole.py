@@ -2,7 +2,9 @@
 
 import random
 
-from eventloom.llm import jaccard
+import pyarrow as pa
+
+from eventloom.llm import jaccard, toxicity
 
 SCHEMA = "doc_id long, text string"
 
@@ -34,3 +36,15 @@ def test_near_copies_of_the_stage(spark):
     assert got == {i: (len(s), root(i)) for i, s in sets.items()}
     left = {r.doc_id for r in corpus_pipeline.one_of_each(spark, docs, "").collect()}
     assert left == {i for i in sets if root(i) == i} and len(left) == 80
+
+
+def test_toxicity_reads_whole_tokens():
+    for word, found in (
+        ("Nice,Idiot;", {"0:nice", "0:idiot", "4:idio"}), ("stupid-slur/foe", {"0:stupid", "0:slur", "0:foe"}), ("l'abruti", {"0:abruti", "6:abruti"}),
+        ("मूर्ख।", {"0:मूर्ख", "4:मूर्"}), ("你好,你是一个大笨蛋吗", {"0:你好", "0:笨蛋", "4:个大笨蛋", "7:是一个大笨蛋吗"}), ("ばかabuser野郎", {"0:ばか", "0:abuser", "0:野郎"}), ("x" * 60 + "idiot" + "y" * 60, {"5:idiot"}),
+    ):
+        assert found <= set(toxicity.patterns_of(word)), word
+    assert sorted(toxicity.patterns_of("(words)")) == ["0:words", "4:word", "5:words"] and not list(toxicity.patterns_of("☠️--_"))
+    texts = pa.array(["a b,worst c", None, "worst"])
+    doc, pattern, _ = toxicity.document_patterns(texts, {"0:worst": 0, "0:c": 1})
+    assert list(zip(doc.tolist(), pattern.tolist(), strict=True)) == [(0, 0), (0, 1), (2, 0)]
