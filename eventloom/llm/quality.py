@@ -29,13 +29,13 @@ PARTIAL = "pile int, chunk int, sums binary"
 
 
 def forms(flat: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each word: its row of the vocabulary (of its last four characters, lower case), its number in the slice, and its traits."""
+    """For each word: its row of the vocabulary (of the whole word, lower case), its number in the slice, and its traits."""
     if not len(flat):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, 4), np.float32)
     coded = flat.dictionary_encode()
     unique = coded.dictionary.to_pylist()
-    rows = np.fromiter((xxhash.xxh3_64_intdigest(w[-4:].lower()) % VOCAB for w in unique), np.int64, len(unique))
-    traits = np.array([(not any(map(str.isalpha, w[:8])), len(w) > 1 and w.isupper(), not w[-1].isalnum() and not w[-2:-1].isalnum(), min(len(w), 40)) for w in unique], np.float32)
+    rows = np.fromiter((xxhash.xxh3_64_intdigest(w.lower()) % VOCAB for w in unique), np.int64, len(unique))
+    traits = np.array([(not any(map(str.isalpha, w)), len(w) > 1 and w.isupper(), not w[-1].isalnum() and not w[-2:-1].isalnum(), np.log1p(len(w))) for w in unique], np.float32)
     codes = coded.indices.to_numpy(zero_copy_only=False)
     return rows[codes], codes, traits[codes]
 
@@ -103,7 +103,7 @@ def pooled(texts: pa.Array, vectors: np.ndarray) -> np.ndarray:
     distinct = np.bincount(np.unique(doc * np.int64(len(flat)) + codes) // len(flat), minlength=len(n))[full]
     rates = np.add.reduceat(np.column_stack([traits, again]), at, axis=0, dtype=np.float64) / count
     lines = pc.fill_null(pc.count_substring(texts, "\n"), 0).to_numpy(zero_copy_only=False)[full]
-    out[full, 2 * DIMS : 2 * DIMS + 5] = rates / [1, 1, 1, 10, 1]
+    out[full, 2 * DIMS : 2 * DIMS + 5] = rates / [1, 1, 1, 3, 1]
     out[full, 2 * DIMS + 5] = distinct / count[:, 0]
     out[full, 2 * DIMS + 6] = np.log1p(count[:, 0]) / 8
     out[full, 2 * DIMS + 7] = lines / count[:, 0]

@@ -4,7 +4,7 @@ import random
 
 import pyarrow as pa
 
-from eventloom.llm import jaccard, toxicity
+from eventloom.llm import jaccard, quality, toxicity
 
 SCHEMA = "doc_id long, text string"
 
@@ -48,3 +48,9 @@ def test_toxicity_reads_whole_tokens():
     texts = pa.array(["a b,worst c", None, "worst"])
     doc, pattern, _ = toxicity.document_patterns(texts, {"0:worst": 0, "0:c": 1})
     assert list(zip(doc.tolist(), pattern.tolist(), strict=True)) == [(0, 0), (0, 1), (2, 0)]
+
+
+def test_quality_vectors_are_of_whole_words():
+    rows, codes, traits = quality.forms(pa.array(["Station", "nation", "station", "12345678-90ab", "12345678-9012", "x" * 41, "x" * 400]))
+    assert len(set(rows.tolist())) == 6 and rows[0] == rows[2] and codes[0] != codes[2]
+    assert (traits[3, 0], traits[4, 0]) == (0, 1) and traits[5, 3] < traits[6, 3]
