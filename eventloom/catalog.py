@@ -251,6 +251,23 @@ def fold_workflow_steps(spark, d):
     return folds.retryable(folds.workflow_steps(ev, li), 3).select("workflow_id", "step_id", "status", "attempts")
 
 
+ROWS_ORDER = ("l_shipdate", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_returnflag", "l_linestatus")
+
+
+@query(f"WITH r AS (SELECT *, row_number() OVER w AS n, count(*) OVER (PARTITION BY l_orderkey, l_linenumber) AS k FROM lineitem WINDOW w AS (PARTITION BY l_orderkey, l_linenumber ORDER BY {', '.join(ROWS_ORDER)})) SELECT 'wf-' || l_orderkey AS workflow_id, l_linenumber AS step_id, CASE WHEN l_returnflag = 'R' THEN CASE WHEN l_linenumber + k - 1 < 3 THEN 'SCHEDULED' ELSE 'FAILED' END WHEN l_linestatus = 'F' THEN 'SUCCEEDED' ELSE 'STARTED' END AS status, CAST(l_linenumber + k - 1 AS INT) AS attempts FROM r WHERE n = k")
+def fold_workflow_steps_all(spark, d):
+    """fold_workflow_steps over every step; rows that repeat a step are its attempts, in order."""
+    n = F.row_number().over(Window.partitionBy("l_orderkey", "l_linenumber").orderBy(*ROWS_ORDER))
+    li = read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", *ROWS_ORDER).withColumn("n", n)
+    li = li.withColumn("workflow_id", F.concat(F.lit("wf-"), F.col("l_orderkey").cast("string"))).withColumn("step_id", F.col("l_linenumber"))
+    last = F.when(F.col("l_returnflag") == "R", "StepFailed").when(F.col("l_linestatus") == "F", "StepSucceeded").otherwise("StepStarted")
+    none = F.lit(None).cast("string")
+    kinds = F.explode(F.array(*[F.struct((3 * F.col("n") + i).cast("bigint").alias("seq"), k.alias("event_type")) for i, k in enumerate((F.lit("StepScheduled"), F.lit("StepStarted"), last))]))
+    ev = li.select("workflow_id", "step_id", kinds.alias("k"), (F.col("l_linenumber") + F.col("n") - 1).alias("attempt")).select("workflow_id", "step_id", "k.seq", "k.event_type", none.alias("task_id"), "attempt", none.alias("result"), none.alias("error"), F.col("k.seq").alias("timestamp_ms"))
+    steps = li.select("workflow_id", "step_id").distinct()
+    return folds.retryable(folds.workflow_steps(ev, steps), 3).select("workflow_id", "step_id", "status", "attempts")
+
+
 ACTORS = f"""{L}, a AS (SELECT stream_id AS actor_id, seq, CASE event_type WHEN 'signup' THEN 'ActorOwnershipGranted' WHEN 'view' THEN 'ActorCommandSubmitted' WHEN 'error' THEN 'ActorCommandFailed' WHEN 'purchase' THEN 'ActorSnapshotCreated' ELSE 'ActorCommandApplied' END AS kind, event_type, payload FROM log),
   b AS (SELECT *, sum(CASE WHEN kind IN ('ActorCommandApplied', 'ActorCommandFailed') THEN 1 ELSE 0 END) OVER (PARTITION BY actor_id ORDER BY seq) AS c FROM a),
   s AS (SELECT actor_id, coalesce(max(c) FILTER (kind = 'ActorSnapshotCreated'), 0) AS snap FROM b GROUP BY ALL)"""
@@ -343,6 +360,13 @@ def dag_validate(spark, d):
     return dag.validated(steps.join(whole, "workflow_id"), whole.withColumn("result_step_id", F.lit(2)))
 
 
+@query(f"WITH {STEPS}, u AS (SELECT DISTINCT workflow_id FROM edge ANTI JOIN steps s ON s.workflow_id = edge.workflow_id AND s.step_id = edge.depends_on) SELECT workflow_id, concat_ws(',', CASE WHEN NOT bool_or(step_id = 2) THEN 'missing result step' END, CASE WHEN workflow_id IN (SELECT workflow_id FROM u) THEN 'unknown dependency' END) AS errors FROM steps GROUP BY workflow_id")
+def dag_validate_all(spark, d):
+    """dag_validate over every workflow, those with unknown dependencies included."""
+    steps = step_rows(spark, d)
+    return dag.validated(steps, steps.select("workflow_id").distinct().withColumn("result_step_id", F.lit(2)))
+
+
 # Placement and caches.
 
 
