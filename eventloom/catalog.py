@@ -384,6 +384,25 @@ def placement_predicted(spark, d):
     return views.best(pairs.withColumn("ms", ms), "model", "ms", "worker_id").select("model", "worker_id")
 
 
+def best_workers(spark, d, score, *order):
+    """For each model of part, the best of all workers by score, which depends on a worker's load and cache class only."""
+    workers = read(spark, d, "supplier").groupBy((F.col("s_suppkey") % 4).alias("load"), (F.col("s_suppkey") % 5).alias("class")).agg(F.min("s_suppkey").alias("worker_id"))
+    pairs = read(spark, d, "part").select(F.col("p_partkey").alias("model")).crossJoin(F.broadcast(workers))
+    warm = (F.col("model") + F.col("class")) % 5 == 0
+    return views.best(pairs.withColumn("score", score(F.col("load"), warm)), "model", *order, "worker_id").select("model", "worker_id")
+
+
+@query("SELECT p_partkey AS model, arg_min(s_suppkey, (-(100 * (4 - s_suppkey % 4) - 10 * (s_suppkey % 4) + CASE WHEN (p_partkey + s_suppkey) % 5 = 0 THEN 1000 ELSE 0 END)) * 100000 + s_suppkey) AS worker_id FROM part CROSS JOIN supplier GROUP BY ALL")
+def placement_locality_all(spark, d):
+    return best_workers(spark, d, lambda load, warm: views.locality_score(F.lit(4), load, warm, F.lit(False)), F.desc("score"))
+
+
+@query("SELECT p_partkey AS model, arg_min(s_suppkey, (25 + CASE WHEN (p_partkey + s_suppkey) % 5 = 0 THEN 0 ELSE 100 END + 50 * (s_suppkey % 4)) * 100000 + s_suppkey) AS worker_id FROM part CROSS JOIN supplier GROUP BY ALL")
+def placement_predicted_all(spark, d):
+    none = F.lit(None).cast("bigint")
+    return best_workers(spark, d, lambda load, warm: views.predicted_ms(none, ~warm, none, F.lit(0), load, F.lit(False)), "score")
+
+
 @query(f"{L}, c AS (SELECT stream_id, event_id AS entry, length AS size, sum(length) OVER (PARTITION BY stream_id ORDER BY timestamp_ms DESC, event_id ROWS UNBOUNDED PRECEDING) AS used FROM log WHERE length <= 600) SELECT stream_id, entry, size FROM c WHERE used <= 600")
 def lru_keep_set(spark, d):
     return views.kept_by_recency(log_of(spark, d).withColumnRenamed("event_id", "entry").withColumnRenamed("length", "size"), "stream_id", "size", "timestamp_ms", 600).select("stream_id", "entry", "size")

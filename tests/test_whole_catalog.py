@@ -13,3 +13,11 @@ def test_every_workflow_is_validated_and_every_step_folded(spark):
     assert errors.count() == steps.select("l_orderkey").distinct().count()
     assert errors.where(F.col("errors").contains("unknown dependency")).count() > 0
     assert catalog.QUERIES["fold_workflow_steps_all"](spark, SF).count() == steps.count()
+
+
+def test_every_model_gets_the_best_of_all_workers(spark):
+    parts = spark.read.parquet(f"{SF}/part.parquet").select("p_partkey").collect()
+    workers = [r.s_suppkey for r in spark.read.parquet(f"{SF}/supplier.parquet").select("s_suppkey").collect()]
+    score = lambda m, w: (-(100 * (4 - w % 4) - 10 * (w % 4) + 1000 * ((m + w) % 5 == 0)), w)
+    got = {r.model: r.worker_id for r in catalog.QUERIES["placement_locality_all"](spark, SF).collect()}
+    assert got == {p.p_partkey: min(workers, key=lambda w: score(p.p_partkey, w)) for p in parts}
