@@ -24,6 +24,8 @@ from .labelled import PER_CLASS, texts_of, training
 
 VOCAB, DIMS, CHUNKS, REACH = 1 << 14, 32, 16, 2
 HIDDEN, EPOCHS, RATES = 32, 40, 8
+#: Text bytes that a Python worker holds as words at once.
+HELD_BYTES = 3_000_000
 THRESHOLD = 0.7
 PARTIAL = "pile int, chunk int, sums binary"
 
@@ -33,9 +35,13 @@ def forms(flat: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     if not len(flat):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, 4), np.float32)
     coded = flat.dictionary_encode()
-    unique = coded.dictionary.to_pylist()
-    rows = np.fromiter((xxhash.xxh3_64_intdigest(w.lower()) % VOCAB for w in unique), np.int64, len(unique))
-    traits = np.array([(not any(map(str.isalpha, w)), len(w) > 1 and w.isupper(), not w[-1].isalnum() and not w[-2:-1].isalnum(), np.log1p(len(w))) for w in unique], np.float32)
+    unique = coded.dictionary
+    rows = np.fromiter(map(xxhash.xxh3_64_intdigest, pc.utf8_lower(unique).cast(pa.binary()).to_pylist()), np.uint64, len(unique)) % np.uint64(VOCAB)
+    length = pc.utf8_length(unique).to_numpy(zero_copy_only=False)
+    said = [pc.invert(pc.match_substring_regex(unique, r"\p{L}")), pc.utf8_is_upper(unique), pc.match_substring_regex(unique, r"(^|[^\p{L}\p{N}])[^\p{L}\p{N}]$")]
+    traits = np.column_stack([*(x.to_numpy(zero_copy_only=False) for x in said), np.log1p(length)]).astype(np.float32)
+    traits[:, 1] *= length > 1
+    rows = rows.astype(np.int64)
     codes = coded.indices.to_numpy(zero_copy_only=False)
     return rows[codes], codes, traits[codes]
 
@@ -49,7 +55,7 @@ def index_vectors() -> tuple[np.ndarray, np.ndarray]:
 def neighbour_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     places, signs = index_vectors()
     total = np.zeros(VOCAB * DIMS)
-    for batch in slices(batches):
+    for batch in slices(batches, most=HELD_BYTES):
         flat, offsets = words_of(batch.column("text"))
         rows, _, _ = forms(flat)
         doc = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
@@ -92,16 +98,18 @@ def pooled(texts: pa.Array, vectors: np.ndarray) -> np.ndarray:
     if not len(full):
         return out
     at, count = offsets[full], n[full][:, None].astype(np.float64)
-    v = vectors[rows]
-    mean = np.add.reduceat(v, at, axis=0, dtype=np.float64) / count
-    square = np.add.reduceat(v * v, at, axis=0, dtype=np.float64) / count
-    out[full, :DIMS] = mean
-    out[full, DIMS : 2 * DIMS] = np.sqrt(np.maximum(square - mean * mean, 0))
+    for k, column in enumerate(vectors.T.astype(np.float64)):  # a dimension at a time: no table of words by dimensions
+        v = column[rows]
+        mean = np.add.reduceat(v, at) / count[:, 0]
+        out[full, k] = mean
+        out[full, DIMS + k] = np.sqrt(np.maximum(np.add.reduceat(v * v, at) / count[:, 0] - mean * mean, 0))
     again = np.concatenate([[False], codes[1:] == codes[:-1]])
     again[at] = False
     doc = np.repeat(np.arange(len(n)), n)
-    distinct = np.bincount(np.unique(doc * np.int64(len(flat)) + codes) // len(flat), minlength=len(n))[full]
-    rates = np.add.reduceat(np.column_stack([traits, again]), at, axis=0, dtype=np.float64) / count
+    pairs = np.sort(doc * np.int64(len(flat)) + codes)
+    first = np.concatenate([[True], pairs[1:] != pairs[:-1]])
+    distinct = np.bincount(pairs[first] // len(flat), minlength=len(n))[full]
+    rates = np.column_stack([np.add.reduceat(x.astype(np.float64), at) for x in (*traits.T, again)]) / count
     lines = pc.fill_null(pc.count_substring(texts, "\n"), 0).to_numpy(zero_copy_only=False)[full]
     out[full, 2 * DIMS : 2 * DIMS + 5] = rates / [1, 1, 1, 3, 1]
     out[full, 2 * DIMS + 5] = distinct / count[:, 0]
@@ -160,7 +168,7 @@ def fitted(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tu
     vectors = word_vectors(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
+        for b in slices(batches, most=HELD_BYTES):
             x = pooled(b.column("text"), vectors)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), pa.array([r.tobytes() for r in x], pa.binary())], names=["doc_id", "y", "x"])
 
@@ -180,7 +188,7 @@ def scores(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, into:
     kept = [c for c in docs.columns if c != into]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
+        for b in slices(batches, most=HELD_BYTES):
             x = pooled(b.column("text"), vectors).astype(np.float64)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(network.probability(x), pa.float64())], names=[*b.schema.names, into])
 
