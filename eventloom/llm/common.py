@@ -143,6 +143,22 @@ def by_bucket(buckets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return order, found[first], np.append(first, len(found))
 
 
+#: Values of a slice and bucket, and marks of a document, as line dedup sends them.
+PACKED = "bucket int, kind int, packed binary"
+MARKS = "doc_id long, fp long, kind int, packed binary"
+
+
+def fingerprint(text: str | None) -> int:
+    """Tells rows that share a doc_id apart."""
+    return xxhash.xxh3_64_intdigest(text or "") >> 32
+
+
+def rows(kind: str, columns: list[list]) -> pa.RecordBatch:
+    types = {"packed": [pa.int32(), pa.int32(), pa.binary()], "marks": [pa.int64(), pa.int64(), pa.int32(), pa.binary()]}[kind]
+    names = {"packed": ["bucket", "kind", "packed"], "marks": ["doc_id", "fp", "kind", "packed"]}[kind]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
+
+
 def in_hold_out(doc_id):
     """Whether crc32 of doc_id as text leaves 2 when divided by 4; false for null."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 4 == 2, F.lit(False))

@@ -20,9 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bucket, deltas, dump, load, mixed, slices, text_bytes
+from .common import MARKS, PACKED, by_bucket, deltas, dump, fingerprint, load, mixed, rows, slices, text_bytes
 from .labelled import texts_of
-from .substring_dedup import MARKS, PACKED, fingerprint, rows
 
 #: Lines with fewer characters that aren't white space stay; one edit counts where both lines have so many characters.
 LEAST, LEAST_EDIT = 8, 20

@@ -5,9 +5,10 @@ either text. So the index holds each document's non-overlapping blocks, and ever
 Anchors that hit are then extended in the whole text to every window around them; equal windows of a smaller doc_id prove
 a repeat, and runs of such windows are the maximal exact repeats.
 
-Three things keep hot passages small: a worker first drops what repeats within its own slice of documents (it knows the
-smaller document then), blocks and probes travel as packed columns of a slice and bucket, and a bucket only finds the smallest
-and largest document of an anchor, never pairs. Texts are dealt out by doc_id once; both joins use that exchange.
+Texts are dealt to parts once. A part is small enough for one worker, and its anchors and windows, in the order of their hashes, are
+the same whenever they are computed. So a part and a bucket of hashes speak in lists: the part sends each distinct hash
+once (not one for each place), the bucket answers with one bit for each. Hot passages are one entry a part, and what is
+sent back does not name documents or places.
 """
 
 from __future__ import annotations
@@ -17,282 +18,233 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import by_bucket, deltas, dump, load, rolling, slices, text_bytes, word_hashes, words_of
 from .labelled import texts_of
 
-#: Text bytes whose anchors meet in one bucket.
-BUCKET_BYTES = 8_000_000
+#: Text bytes of a part, which one worker holds as words, and those whose anchors meet in one bucket.
+PART_BYTES, BUCKET_BYTES = 5_000_000, 8_000_000
 SECOND = np.uint64(0xD6E8FEB86659FD93)
-PACKED = "bucket int, kind int, packed binary"
-MARKS = "doc_id long, fp long, kind int, packed binary"
+LISTS = "bucket int, part int, packed binary"
 OUT = "doc_id long, n_words long, n_removed long, kept_text string, spans array<struct<start:long,end:long>>"
 
 
-def fingerprint(text: str | None) -> int:
-    """Tells rows that share a doc_id apart."""
-    return xxhash.xxh3_64_intdigest(text or "") >> 32
-
-
-class Slice:
+class Words:
     """The words of some documents in the order of doc_id."""
 
-    def __init__(self, batch: pa.RecordBatch):
-        ids = batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
+    def __init__(self, ids: pa.Array, texts: pa.Array):
+        ids = ids.to_numpy(zero_copy_only=False).astype(np.int64)
         self.order = np.argsort(ids, kind="stable")
-        self.texts = batch.column("text").take(pa.array(self.order))
         self.ids = ids[self.order]
-        self.fps = np.array([fingerprint(x) for x in self.texts.to_pylist()], np.int64)
-        flat, self.offsets = words_of(self.texts)
-        self.flat = flat
-        self.hashes, self.codes = word_hashes(flat)
+        self.flat, self.offsets = words_of(texts.take(pa.array(self.order)))
+        self.hashes, _ = word_hashes(self.flat)
         counts = np.diff(self.offsets)
         self.doc = np.repeat(np.arange(len(counts)), counts)
-        self.pos = np.arange(len(self.hashes)) - self.offsets[self.doc]
         self.left = self.offsets[self.doc + 1] - np.arange(len(self.hashes))
 
-    def packed(self, at: np.ndarray, *more: np.ndarray) -> bytes:
-        """Words at ascending places: documents, how many of each, positions (as differences), and what else goes with them."""
-        docs, first, counts = np.unique(self.doc[at], return_index=True, return_counts=True)
-        pos = self.pos[at].astype(np.int32)
-        gaps = deltas(pos)
-        gaps[first] = pos[first]
-        return dump(deltas(self.ids[docs]), self.fps[docs].astype(np.uint32), counts.astype(np.uint32), gaps.astype(np.uint32), *more)
 
+def words_in(rows: pa.Table) -> Words:
+    return Words(rows.column("doc_id").combine_chunks(), rows.column("text").combine_chunks())
 
-def unpacked(value: bytes) -> list[np.ndarray]:
-    """doc_id, fp and position of each word, and what else was packed."""
-    ids, fps, counts, gaps, *more = load(value)
-    first = np.cumsum(counts, dtype=np.int64) - counts
-    total = np.cumsum(gaps, dtype=np.int64)
-    pos = total - np.repeat(total[first] - gaps[first], counts)
-    return [np.repeat(np.cumsum(ids), counts), np.repeat(fps.astype(np.int64), counts), pos, *more]
 
+class Lists:
+    """Distinct hashes at some places of a part, sorted by bucket and low bits: what a bucket is sent ascends, and its differences are small."""
 
-def rows(kind: str, columns: list[list]) -> pa.RecordBatch:
-    types = {"packed": [pa.int32(), pa.int32(), pa.binary()], "marks": [pa.int64(), pa.int64(), pa.int32(), pa.binary()]}[kind]
-    names = {"packed": ["bucket", "kind", "packed"], "marks": ["doc_id", "fp", "kind", "packed"]}[kind]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
+    def __init__(self, hashes: np.ndarray, buckets: int, second: np.ndarray | None = None):
+        bucket = ((hashes >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+        turned = (hashes << np.uint64(32)) | (hashes >> np.uint64(32))
+        order = np.argsort(turned, kind="stable") if second is None else np.lexsort((second, turned))
+        order = order[np.argsort(bucket[order].astype(np.uint16) if buckets < 65536 else bucket[order], kind="stable")]
+        new = np.ones(len(order), bool)
+        new[1:] = hashes[order[1:]] != hashes[order[:-1]]
+        if second is not None:
+            new[1:] |= second[order[1:]] != second[order[:-1]]
+        self.group = np.empty(len(order), np.int64)
+        self.group[order] = np.cumsum(new) - 1
+        #: One place of each distinct hash: the first, which is one of the smallest doc_id.
+        self.first = order[new]
+        _, self.found, self.cut = by_bucket(bucket[self.first])
 
+    def __len__(self) -> int:
+        return len(self.first)
 
-def anchors(window: int, buckets: int):
-    block = (window + 1) // 2
+    def rows(self, part: int, *columns: np.ndarray) -> pa.Table:
+        packed = [dump(*(c[a:b] if c.dtype == bool else deltas(c[a:b]) for c in columns)) for a, b in zip(self.cut[:-1], self.cut[1:], strict=True)]
+        return pa.table([pa.array(self.found, pa.int32()), pa.array([part] * len(packed), pa.int32()), pa.array(packed, pa.binary())], names=["bucket", "part", "packed"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            s = Slice(batch)
-            out: list[list] = [[], [], []]
-            fresh = s.left >= window
-            starts = np.flatnonzero(fresh)
-            if not len(starts):
-                continue
-            hashes = rolling(s.hashes, window)[starts]
-            order = np.argsort(hashes, kind="stable")
-            hashes = hashes[order]
-            new = np.concatenate([[True], hashes[1:] != hashes[:-1]])
-            at, first = starts[order], starts[order[np.flatnonzero(new)][np.cumsum(new) - 1]]
-            same = s.ids[s.doc[first]] < s.ids[s.doc[at]]
-            at, first = at[same], first[same]
-            for j in range(window):  # words, not only hashes
-                same = s.codes[at + j] == s.codes[first + j]
-                at, first = at[same], first[same]
-            known = np.sort(at)
-            fresh[known] = False
-            if len(known):
-                b = s.ids[s.doc[known]] % buckets
-                order, found, cut = by_bucket(b)
-                for k, x in enumerate(found):
-                    add(out, x, 0, s.packed(known[order[cut[k] : cut[k + 1]]]))
-            seen = np.concatenate([[0], np.cumsum(fresh)])
-            i = np.arange(len(fresh))
-            probes = np.flatnonzero(seen[i + 1] - seen[np.maximum(i - (window - block), 0)] > 0)
-            probes = probes[s.left[probes] >= block]
-            hashes = rolling(s.hashes, block)[probes]
-            order, found, cut = by_bucket((hashes >> np.uint64(32)).astype(np.int64) % buckets)
-            low = (hashes & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-            for k, x in enumerate(found):
-                part = order[cut[k] : cut[k + 1]]
-                add(out, x, 1, s.packed(probes[part], low[part]))
-            yield rows("packed", out)
-
-    def add(out: list[list], *values) -> None:
-        for c, v in zip(out, values, strict=True):
-            c.append(v)
+    def answers(self, rows: pa.Table) -> np.ndarray:
+        """The buckets' bits, in the order of the list."""
+        out = np.zeros(len(self.first), bool)
+        at = {int(x): k for k, x in enumerate(self.found)}
+        for bucket, packed in zip(rows.column("bucket").to_pylist(), rows.column("packed").to_pylist(), strict=True):
+            a, b = self.cut[at[bucket]], self.cut[at[bucket] + 1]
+            out[a:b] = np.unpackbits(load(packed)[0], count=int(b - a)).view(bool)
+        return out
 
-    return run
+
+def opened(rows: pa.Table) -> list[list[np.ndarray]]:
+    """The columns of each part."""
+    return [[c if c.dtype == bool else np.cumsum(c, dtype=c.dtype) for c in load(v)] for v in rows.column("packed").to_pylist()]
+
+
+def bits(part: list[int], bucket: int, lengths: list[int], answer: np.ndarray) -> pa.Table:
+    """A bucket's answers, a row for each part that has a yes."""
+    ends = np.cumsum(lengths)
+    parts, packed = [], []
+    for p, a, b in zip(part, ends - lengths, ends, strict=True):
+        if answer[a:b].any():
+            parts.append(p)
+            packed.append(dump(np.packbits(answer[a:b])))
+    return pa.table([pa.array([bucket] * len(parts), pa.int32()), pa.array(parts, pa.int32()), pa.array(packed, pa.binary())], names=["bucket", "part", "packed"])
+
+
+def probes(s: Words, window: int, buckets: int) -> tuple[np.ndarray, np.ndarray, Lists]:
+    """Places of all rolling windows of a block's length in documents that hold a whole window, whether a block starts there, and the list of hashes."""
+    block = (window + 1) // 2
+    at = np.flatnonzero((s.left >= block) & ((s.offsets[1:] - s.offsets[:-1])[s.doc] >= window))
+    is_block = (at - s.offsets[s.doc[at]]) % block == 0
+    return at, is_block, Lists(rolling(s.hashes, block)[at], buckets)
 
 
-def marks_of(ids: np.ndarray, fps: np.ndarray, pos: np.ndarray, kind: int, out: list[list]) -> None:
-    """A row for each document with its ascending positions."""
-    if not len(ids):
-        return
-    order = np.lexsort((pos, fps, ids))
-    ids, fps, pos = ids[order], fps[order], pos[order]
-    first = np.flatnonzero(np.concatenate([[True], (ids[1:] != ids[:-1]) | (fps[1:] != fps[:-1])]))
-    for a, b in zip(first, np.append(first[1:], len(ids)), strict=True):
-        out[0].append(int(ids[a]))
-        out[1].append(int(fps[a]))
-        out[2].append(kind)
-        out[3].append(deltas(pos[a:b]).astype(np.uint32).tobytes())
-
-
-def smallest(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.lexsort((ids, keys))
-    keys, ids = keys[order], ids[order]
-    first = np.concatenate([[True], keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, bool)
-    return keys[first], ids[first]
-
-
-def hits(block: int):
-    """In a bucket: the probes that meet a block of a smaller document, and the blocks that meet a probe of a larger one."""
-
-    def run(group: pa.Table) -> pa.Table:
-        out: list[list] = [[], [], [], []]
-        kinds, values = group.column("kind").to_pylist(), group.column("packed").to_pylist()
-        for k, v in zip(kinds, values, strict=True):
-            if k == 0:
-                marks_of(*unpacked(v), 0, out)
-        parts = [unpacked(v) for k, v in zip(kinds, values, strict=True) if k == 1]
-        if parts:
-            ids, fps, pos, keys = (np.concatenate(c) for c in zip(*parts, strict=True))
-            is_block = pos % block == 0
-            k, low = smallest(keys[is_block], ids[is_block])
-            hit = np.zeros(len(ids), bool)
-            if len(k):
-                at = np.minimum(np.searchsorted(k, keys), len(k) - 1)
-                probe = (k[at] == keys) & (low[at] < ids)
-                hit |= probe
-                k, high = smallest(keys[probe], -ids[probe])
-                if len(k):
-                    b = np.flatnonzero(is_block)
-                    at = np.minimum(np.searchsorted(k, keys[b]), len(k) - 1)
-                    hit[b] |= (k[at] == keys[b]) & (-high[at] > ids[b])
-            marks_of(ids[hit], fps[hit], pos[hit], 1, out)
-        return pa.Table.from_batches([rows("marks", out)])
+def anchors(window: int, buckets: int):
+    def run(rows: pa.Table) -> pa.Table:
+        s = words_in(rows)
+        at, is_block, found = probes(s, window, buckets)
+        blocks, many = np.zeros(len(found), bool), np.zeros(len(found), bool)
+        blocks[found.group[is_block]] = True
+        many[found.group[s.doc[at] != s.doc[at[found.first]][found.group]]] = True  # two documents of this part hold it
+        low = (rolling(s.hashes, (window + 1) // 2)[at[found.first]] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+        return found.rows(rows.column("part")[0].as_py(), low, blocks, many) if len(found) else EMPTY
 
     return run
 
 
-def marked(batch: pa.RecordBatch, s: Slice, kind: int) -> np.ndarray:
-    """Places in the slice that the rows' marks of a kind name."""
-    lists = batch.column("marks").to_pylist()
-    out = []
-    for k, i in enumerate(s.order.tolist()):
-        for m in lists[i] or ():
-            if m["kind"] == kind and m["fp"] == s.fps[k]:
-                out.append(np.cumsum(np.frombuffer(m["packed"], np.uint32), dtype=np.int64) + s.offsets[k])
-    return np.unique(np.concatenate(out)) if out else np.zeros(0, np.int64)
+EMPTY = pa.table([pa.array([], pa.int32()), pa.array([], pa.int32()), pa.array([], pa.binary())], names=["bucket", "part", "packed"])
 
 
-def extended(window: int, buckets: int):
-    """Every window around an anchor that hit, by its hash; windows that are known to repeat pass as they are."""
+def hits(rows: pa.Table) -> pa.Table:
+    """In a bucket: the hashes that are a block in one document and occur in another."""
+    parts = opened(rows)
+    keys, blocks, many = (np.concatenate(c) for c in zip(*parts, strict=True))
+    order = np.argsort(keys, kind="stable")
+    first = np.flatnonzero(np.concatenate([[True], keys[order[1:]] != keys[order[:-1]]]))
+    times = np.diff(np.append(first, len(keys)))
+    hot = np.logical_or.reduceat(blocks[order], first) & ((times > 1) | np.logical_or.reduceat(many[order], first))
+    answer = np.zeros(len(keys), bool)
+    answer[order] = np.repeat(hot, times)
+    return bits(rows.column("part").to_pylist(), rows.column("bucket")[0].as_py(), [len(p[0]) for p in parts], answer)
+
+
+def windows(s: Words, window: int, buckets: int, hot: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, Lists]:
+    """Starts of every window around an anchor that hit, their two hashes, and the list of them."""
     block = (window + 1) // 2
+    at, _, found = probes(s, window, buckets)
+    at = at[found.answers(hot)[found.group]] if len(found) else at
+    near = np.zeros(len(s.hashes) + 1, np.int64)
+    np.add.at(near, np.maximum(at - (window - block), s.offsets[s.doc[at]]), 1)
+    np.add.at(near, at + 1, -1)
+    starts = np.flatnonzero((np.cumsum(near)[:-1] > 0) & (s.left >= window))
+    one, two = rolling(s.hashes, window)[starts], rolling(s.hashes, window, SECOND)[starts]
+    return starts, one, two, Lists(two, buckets, one)
+
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            s = Slice(batch)
-            out: list[list] = [[], [], []]
-            known, at = marked(batch, s, 0), marked(batch, s, 1)
-            if len(known):
-                order, found, cut = by_bucket(s.ids[s.doc[known]] % buckets)
-                for k, x in enumerate(found):
-                    for c, v in zip(out, (x, 0, s.packed(known[order[cut[k] : cut[k + 1]]])), strict=True):
-                        c.append(v)
-            if len(at):
-                near = np.zeros(len(s.hashes) + 1, np.int64)
-                low = np.maximum(at - (window - block), s.offsets[s.doc[at]])
-                np.add.at(near, low, 1)
-                np.add.at(near, at + 1, -1)
-                take = (np.cumsum(near)[:-1] > 0) & (s.left >= window)
-                take[known] = False
-                starts = np.flatnonzero(take)
-                one, two = rolling(s.hashes, window)[starts], rolling(s.hashes, window, SECOND)[starts]
-                order, found, cut = by_bucket((two >> np.uint64(32)).astype(np.int64) % buckets)
-                two = (two & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-                for k, x in enumerate(found):
-                    part = order[cut[k] : cut[k + 1]]
-                    for c, v in zip(out, (x, 1, s.packed(starts[part], one[part], two[part])), strict=True):
-                        c.append(v)
-            yield rows("packed", out)
+def extended(window: int, buckets: int):
+    """Each distinct window around the anchors that hit, with the smallest document of the part that holds it."""
+
+    def run(rows: pa.Table, hot: pa.Table) -> pa.Table:
+        if not rows.num_rows:
+            return EMPTY
+        s = words_in(rows)
+        starts, one, two, found = windows(s, window, buckets, hot)
+        if not len(found):
+            return EMPTY
+        low = (two & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+        ids = s.ids[s.doc[starts]]
+        return found.rows(rows.column("part")[0].as_py(), low[found.first], one[found.first], ids[found.first])
 
     return run
 
 
-def repeats(group: pa.Table) -> pa.Table:
-    """In a bucket: the windows that a smaller document holds too."""
-    out: list[list] = [[], [], [], []]
-    kinds, values = group.column("kind").to_pylist(), group.column("packed").to_pylist()
-    for k, v in zip(kinds, values, strict=True):
-        if k == 0:
-            marks_of(*unpacked(v), 0, out)
-    parts = [unpacked(v) for k, v in zip(kinds, values, strict=True) if k == 1]
-    if parts:
-        ids, fps, pos, one, two = (np.concatenate(c) for c in zip(*parts, strict=True))
-        order = np.lexsort((ids, two, one))
-        ids, fps, pos, one, two = (x[order] for x in (ids, fps, pos, one, two))
-        new = np.concatenate([[True], (one[1:] != one[:-1]) | (two[1:] != two[:-1])])
-        again = ids > ids[np.flatnonzero(new)[np.cumsum(new) - 1]]
-        marks_of(ids[again], fps[again], pos[again], 0, out)
-    return pa.Table.from_batches([rows("marks", out)])
-
-
-def kept(window: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            lost = batch.column("doc_id").is_null().to_numpy(zero_copy_only=False)
-            s = Slice(pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id").fill_null(0), "text": batch.column("text")}))
-            starts = marked(batch, s, 0)
-            starts = starts[s.left[starts] >= window]
-            cover = np.zeros(len(s.hashes) + 1, np.int64)
-            np.add.at(cover, starts, 1)
-            np.add.at(cover, starts + window, -1)
+def repeats(rows: pa.Table) -> pa.Table:
+    """In a bucket: the windows of a part that a smaller document of another part holds too."""
+    parts = opened(rows)
+    two, one, ids = (np.concatenate(c) for c in zip(*parts, strict=True))
+    order = np.lexsort((ids, two, one))
+    new = np.concatenate([[True], (one[order[1:]] != one[order[:-1]]) | (two[order[1:]] != two[order[:-1]])])
+    least = ids[order[np.flatnonzero(new)[np.cumsum(new) - 1]]]
+    answer = np.zeros(len(ids), bool)
+    answer[order] = least < ids[order]
+    return bits(rows.column("part").to_pylist(), rows.column("bucket")[0].as_py(), [len(p[0]) for p in parts], answer)
+
+
+def result(s: Words, gone: np.ndarray, lost: np.ndarray | None = None) -> pa.Table:
+    """Rows of the result, from the words that go."""
+    n = np.diff(s.offsets)
+    total = np.concatenate([[0], np.cumsum(gone)])
+    removed = total[s.offsets[1:]] - total[s.offsets[:-1]]
+    stay = pa.ListArray.from_arrays(pa.array(s.offsets - total[s.offsets], pa.int32()), s.flat.filter(pa.array(gone == 0)))
+    spans: list[list] = [[] for _ in n]
+    for d in np.flatnonzero(removed):
+        inside = np.concatenate([[0], gone[s.offsets[d] : s.offsets[d + 1]].view(np.int8), [0]])
+        e = np.flatnonzero(np.diff(inside))
+        spans[d] = [{"start": int(x), "end": int(y)} for x, y in zip(e[::2], e[1::2], strict=True)]
+    return pa.table(
+        [pa.array(s.ids, pa.int64(), mask=lost), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pc.binary_join(stay, " ").cast(pa.string()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))],
+        names=["doc_id", "n_words", "n_removed", "kept_text", "spans"],
+    )
+
+
+def kept(window: int, buckets: int):
+    """The words that no window covers which a smaller document holds, of this part or another."""
+
+    def run(rows: pa.Table, told: pa.Table) -> pa.Table:
+        s = words_in(rows)
+        kind = told.column("kind")
+        starts, _, _, found = windows(s, window, buckets, told.filter(pc.equal(kind, 0)))
+        gone = np.zeros(len(s.hashes), bool)
+        if len(found):
+            ids = s.ids[s.doc[starts]]
+            again = found.answers(told.filter(pc.equal(kind, 1)))[found.group] | (ids > ids[found.first][found.group])
+            cover = np.zeros(len(gone) + 1, np.int64)
+            np.add.at(cover, starts[again], 1)
+            np.add.at(cover, starts[again] + window, -1)
             gone = np.cumsum(cover)[:-1] > 0
-            n = np.diff(s.offsets)
-            total = np.concatenate([[0], np.cumsum(gone)])
-            removed = total[s.offsets[1:]] - total[s.offsets[:-1]]
-            stay = pa.ListArray.from_arrays(pa.array(s.offsets - total[s.offsets], pa.int32()), s.flat.filter(pa.array(~gone)))
-            texts = pc.binary_join(stay, " ")
-            spans: list[list] = [[] for _ in n]
-            for d in np.flatnonzero(removed):
-                a, b = s.offsets[d], s.offsets[d + 1]
-                inside = np.concatenate([[0], gone[a:b].view(np.int8), [0]])
-                e = np.flatnonzero(np.diff(inside))
-                spans[d] = [{"start": int(x), "end": int(y)} for x, y in zip(e[::2], e[1::2], strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(s.ids, pa.int64(), mask=lost[s.order]), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), texts, pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))],
-                names=["doc_id", "n_words", "n_removed", "kept_text", "spans"],
-            )
+        return result(s, gone)
 
     return run
 
 
+def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows without doc_id keep all words."""
+    for b in slices(batches):
+        s = Words(b.column("doc_id").fill_null(0), b.column("text"))
+        yield from result(s, np.zeros(len(s.hashes), bool), np.ones(b.num_rows, bool)).combine_chunks().to_batches()
+
+
 def substring_dedup(docs: DataFrame, window: int = 13) -> DataFrame:
     """Removes each word that a window of `window` words covers whose words also start in a document with a smaller doc_id.
 
     Returns doc_id, n_words, n_removed, kept_text (words joined by a space) and spans (the maximal repeats, as word ranges), a
     row for each row of docs. Windows are judged on the input. A null or empty text has no words. A null doc_id is neither
     smaller nor larger than another: its row keeps all words. Rows with the same doc_id don't remove from each other. Other
-    columns are ignored.
+    columns are ignored. Windows of different parts are equal when two hashes of 64 and 32 bits and their bucket are.
     """
     size = text_bytes(docs)
-    buckets = max(32, size // BUCKET_BYTES)
-    block = (window + 1) // 2
+    buckets, parts = max(32, size // BUCKET_BYTES), max(16, size // PART_BYTES)
     texts = texts_of(docs)
-    # the filter that an inner join adds stands here too, so that both joins have the same exchange
-    dealt = texts.where("doc_id is not null").repartition(max(32, size // (2 * BUCKET_BYTES)), "doc_id")
-    known = texts.where("doc_id is not null and text is not null")
-
-    def with_marks(found: DataFrame, how: str) -> DataFrame:
-        each = found.groupBy("doc_id").agg(F.collect_list(F.struct("fp", "kind", "packed")).alias("marks"))
-        return dealt.join(each.hint("shuffle_hash"), "doc_id", how)
-
-    first = known.mapInArrow(anchors(window, buckets), PACKED).repartition(buckets, "bucket").groupBy("bucket").applyInArrow(hits(block), MARKS)
-    second = with_marks(first, "inner").mapInArrow(extended(window, buckets), PACKED).repartition(buckets, "bucket").groupBy("bucket").applyInArrow(repeats, MARKS)
-    unnamed = texts.where("doc_id is null").withColumn("marks", F.lit(None))
-    return with_marks(second, "left").unionByName(unnamed).mapInArrow(kept(window), OUT)
+    part = F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)).cast("int").alias("part")
+    dealt = texts.where("doc_id is not null").select("doc_id", "text", part).repartition(parts, "part").groupBy("part")
+
+    def told(asked: DataFrame, answer) -> DataFrame:
+        return asked.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(answer, LISTS)
+
+    hot = told(dealt.applyInArrow(anchors(window, buckets), LISTS), hits)
+    again = told(dealt.cogroup(hot.repartition(parts, "part").groupBy("part")).applyInArrow(extended(window, buckets), LISTS), repeats)
+    both = hot.withColumn("kind", F.lit(0)).unionByName(again.withColumn("kind", F.lit(1)))
+    named = dealt.cogroup(both.repartition(parts, "part").groupBy("part")).applyInArrow(kept(window, buckets), OUT)
+    return named.unionByName(texts.where("doc_id is null").mapInArrow(whole, OUT))
 
 
 def op1_substring_dedup(spark, sf_dir: str) -> DataFrame:
