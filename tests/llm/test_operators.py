@@ -98,6 +98,19 @@ def test_topk(spark):
             best = sorted((-int(np.dot(v, x)), i) for i, x in sound if i != q)[:5]
             assert sorted(got[q]) == [(k + 1, i, -s) for k, (s, i) in enumerate(best)]
     assert topk.topk(df.where("false"), df, 5).count() == 0
+    twice = df.where("vec_id = 50")
+    assert sorted((r["rank"], r.vec_id) for r in topk.topk(df, twice.unionByName(twice), 5).collect()) == sorted((r, i) for r, i, _ in got[50])
+
+
+def test_topk_bounds_hold():
+    """Candidates hold every one of the highest scores, ties too, in shards that are larger than what is rescored at once."""
+    rng = np.random.default_rng(3)
+    for scale in (3, 256, 5000):
+        values = rng.integers(-scale, scale, (500, 12))
+        queries = rng.integers(-scale, scale, (9, 12))
+        for q, at in zip(queries, topk.Index(values).candidates(queries, np.full(9, 5)), strict=True):
+            scores = values @ q
+            assert set(np.flatnonzero(scores >= np.sort(scores)[-5])) <= set(at.tolist())
 
 
 def test_bpe_is_the_library(docs, none):
