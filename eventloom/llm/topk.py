@@ -4,7 +4,8 @@ Vectors are dealt to shards and queries to blocks; each task indexes one shard a
 In a shard, the values of each dimension are quantised to LEVELS steps; the vectors of one dimension and level are a segment, whose
 quantised impact on a query bounds what it can add. For each query, segments are processed by descending impact over all
 dimensions, in ROUNDS. After a round, a vector's score lies between what its processed segments and the floor and ceiling of
-its unprocessed dimensions allow. A query is done only when few enough vectors can still reach its k-th best lower bound; those are scored exactly.
+its unprocessed dimensions allow. A query is done only when few enough vectors can still reach its k-th best lower bound; where all
+segments leave too many, impacts of FINE steps bound them closer. Those that can still reach it are scored exactly.
 
 A round adds the impacts of all its queries by one matrix product of the segments' membership (vectors by segments) and the
 impacts (segments by queries), in whole numbers that the product holds exactly.
@@ -17,9 +18,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-LEVELS, ENOUGH = 8, 64
+LEVELS, FINE, ENOUGH = 8, 256, 64
 #: Shares of the segments that are processed after each round.
-ROUNDS = (0.25, 0.5, 1.0)
+ROUNDS = (0.3, 1.0)
 #: Rows of a shard, queries of a block, and queries that are searched together: what one task holds.
 SHARD, BLOCK, TOGETHER = 4096, 4096, 128
 HITS = "query_id long, vec_id long, score long"
@@ -40,6 +41,8 @@ class Index:
         member[np.arange(n)[:, None], np.arange(dims) * LEVELS + level] = 1
         self.member = member
         self.filled = member.any(axis=0)
+        self.step = np.maximum(1, -(-(high - low + 1) // FINE))
+        self.edge = (low + (values - low) // self.step * self.step).astype(member.dtype)
 
     def wide(self) -> bool:
         """Whether sums of products pass what a 32-bit float holds exactly."""
@@ -74,15 +77,22 @@ class Index:
             lower = np.where(done, least[open_q], np.repeat(bottom, LEVELS, axis=1))
             can = member @ np.where(self.filled, upper, 0).astype(kind).T
             does = member @ np.where(self.filled, lower, 0).astype(kind).T
-            left = []
-            for i, j in enumerate(open_q.tolist()):
-                bar = np.partition(does[:, i], n - k[j])[n - k[j]]
-                out[j] = np.flatnonzero(can[:, i] >= bar)
-                if len(out[j]) > ENOUGH:
-                    left.append(j)
-            open_q = np.array(left, np.int64)
+            open_q = self.reach(can, does, k, open_q, out)
+        if len(open_q):
+            q = queries[open_q]
+            can = self.edge.astype(kind, copy=False) @ q.astype(kind).T
+            does = can + (np.minimum(q, 0) @ (self.step - 1)).astype(kind)
+            can += (np.maximum(q, 0) @ (self.step - 1)).astype(kind)
+            self.reach(can, does, k, open_q, out)
         return out
 
+    def reach(self, can: np.ndarray, does: np.ndarray, k: np.ndarray, open_q: np.ndarray, out: list[np.ndarray]) -> np.ndarray:
+        """Sets the rows that can reach each open query's k-th best lower bound; the queries where these are too many."""
+        n = len(self.values)
+        for i, j in enumerate(open_q.tolist()):
+            out[j] = np.flatnonzero(can[:, i] >= np.partition(does[:, i], n - k[j])[n - k[j]])
+        return np.array([j for j in open_q.tolist() if len(out[j]) > ENOUGH], np.int64)
+
 
 def matrix(t: pa.Table, column: str, dims: int) -> np.ndarray:
     out = np.zeros((t.num_rows, dims), np.int64)
