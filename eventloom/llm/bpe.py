@@ -1,19 +1,17 @@
 """BPE encoding and decoding by tree concatenation.
 
-A text without a place to split is cut into halves, those into halves, down to leaves of `leaf` characters. Leaves are encoded
-on their own (equal ones of a slice once), then joined pairwise up the tree: the text around the join is encoded again in a
+A long text is cut into halves, those into halves, down to leaves of at most `leaf` characters. Leaves are rows of their own, dealt
+over tasks and encoded in parallel, then joined pairwise up the tree: the text around the join is encoded again in a
 window that grows until its first and last tokens agree with what the left and right halves hold there, token by token and
 place by place; only what lies between is replaced. Where the window reaches both ends, it is the direct encoding.
 
-The vocabulary's own rules tell where texts split by themselves: pre-tokens never cross white space, so a run without
-it is one unsplit text; most are words far below a leaf. Tokens of a document are its runs' tokens in order.
+A text of a leaf or less is encoded directly; pre-tokens never cross white space, so equal runs between white space are encoded once.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,18 +19,21 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, words_of
+from .common import slices, text_bytes, words_of
 
-#: Characters of a leaf; a run of up to that many is encoded directly.
-LEAF = 512
+#: Characters of a leaf; a text of up to that many is encoded directly.
+LEAF = 16_384
 #: Tokens on each side of a join that are encoded again at first.
 GROW = 8
+#: Text bytes that a task of leaves gets, about, and tasks that the copies of one long text are dealt over at most.
+TASK_BYTES, SALTS = 8_000_000, 64
 VOCABULARY = "word_bpe_49k.json"
 OUT = "doc_id long, ids array<int>, decoded string"
+LEAVES = "key binary, salt int, no int, doc_id long, text string, packed binary"
 
 
-@lru_cache(maxsize=4)
 def tokenizer(path: str):
+    """The tokenizer of a file; each task opens it once."""
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallel part
@@ -47,17 +48,27 @@ def tokenizer(path: str):
 class Piece:
     """Tokens of a stretch of text, with each token's first and last character there."""
 
-    __slots__ = ("ids", "spans", "text")
+    __slots__ = ("ends", "ids", "starts", "text")
 
-    def __init__(self, text: str, ids: list[int], spans: list[tuple[int, int]]):
-        self.text, self.ids, self.spans = text, ids, spans
+    def __init__(self, text: str, ids: np.ndarray, starts: np.ndarray, ends: np.ndarray):
+        self.text, self.ids, self.starts, self.ends = text, ids, starts, ends
+
+    def agrees(self, a: int, other: Piece, b: int, n: int, shift: int) -> bool:
+        """Whether n tokens from a are the other's from b, which lie `shift` characters further on here."""
+        mine, its = slice(a, a + n), slice(b, b + n)
+        return all(map(np.array_equal, (self.ids[mine], self.starts[mine], self.ends[mine]), (other.ids[its], other.starts[its] + shift, other.ends[its] + shift)))
+
+
+def piece(text: str, found) -> Piece:
+    spans = np.array(found.offsets, np.int64).reshape(-1, 2)
+    return Piece(text, np.array(found.ids, np.int32), spans[:, 0], spans[:, 1])
 
 
 def encoded(tok, texts: list[str]) -> list[Piece]:
     """Equal texts are encoded once."""
     unique = list(dict.fromkeys(texts))
-    found = {t: e for t, e in zip(unique, tok.encode_batch(unique, add_special_tokens=False), strict=True)}
-    return [Piece(t, found[t].ids, found[t].offsets) for t in texts]
+    found = {t: piece(t, e) for t, e in zip(unique, tok.encode_batch(unique, add_special_tokens=False), strict=True)}
+    return [found[t] for t in texts]
 
 
 def concatenated(tok, left: Piece, right: Piece, grow: int = GROW) -> Piece:
@@ -66,17 +77,16 @@ def concatenated(tok, left: Piece, right: Piece, grow: int = GROW) -> Piece:
     back = forth = grow
     while True:
         a, b = max(0, len(left.ids) - back), min(len(right.ids), forth)
-        start = left.spans[a][0] if a else 0
-        end = n + right.spans[b - 1][1] if b < len(right.ids) else len(text)
-        e = tok.encode(text[start:end], add_special_tokens=False)
-        ids, spans = e.ids, [(x + start, y + start) for x, y in e.offsets]
+        start = int(left.starts[a]) if a else 0
+        end = n + int(right.ends[b - 1]) if b < len(right.ids) else len(text)
+        w = piece(text[start:end], tok.encode(text[start:end], add_special_tokens=False))
         # the first and last half of the window's old tokens must come out as they were, at their places
         keep_a, keep_b = (len(left.ids) - a) // 2 if a else 0, b // 2 if b < len(right.ids) else 0
-        fits_a = not a or (keep_a > 0 and ids[:keep_a] == left.ids[a : a + keep_a] and spans[:keep_a] == left.spans[a : a + keep_a] and boundary(left.text, left.spans, a, keep_a))
-        tail = [(x + n, y + n) for x, y in right.spans[b - keep_b : b]]
-        fits_b = b == len(right.ids) or (keep_b > 0 and ids[len(ids) - keep_b :] == right.ids[b - keep_b : b] and spans[len(spans) - keep_b :] == tail and boundary(right.text, right.spans, b - keep_b, keep_b))
+        fits_a = not a or (keep_a > 0 and w.agrees(0, left, a, keep_a, -start) and boundary(left, a, keep_a))
+        fits_b = b == len(right.ids) or (0 < keep_b <= len(w.ids) and w.agrees(len(w.ids) - keep_b, right, b - keep_b, keep_b, n - start) and boundary(right, b - keep_b, keep_b))
         if fits_a and fits_b:
-            return Piece(text, left.ids[:a] + ids + right.ids[b:], left.spans[:a] + spans + [(x + n, y + n) for x, y in right.spans[b:]])
+            ids = np.concatenate([left.ids[:a], w.ids, right.ids[b:]])
+            return Piece(text, ids, *(np.concatenate([x[:a], y + start, z[b:] + n]) for x, y, z in ((left.starts, w.starts, right.starts), (left.ends, w.ends, right.ends))))
         back, forth = back if fits_a else back * 2, forth if fits_b else forth * 2
 
 
@@ -84,30 +94,41 @@ def kind(c: str) -> str:
     return "letter" if c.isalpha() else "number" if c.isnumeric() else "other"
 
 
-def boundary(text: str, spans: list[tuple[int, int]], first: int, count: int) -> bool:
+def boundary(p: Piece, first: int, count: int) -> bool:
     """Whether a pre-token surely ends among these tokens: only there is what lies on one side free of the other.
 
-    A letter after a number, a number after a letter, or two numbers; characters are plain ASCII, so that no normalising joins them.
+    White space; or a letter after a number, a number after a letter, or two numbers, in plain ASCII, so that no normalising joins them.
     """
-    lo, hi = spans[first][0], spans[first + count - 1][1]
-    for i in range(lo + 1, hi):
-        x, y = text[i - 1], text[i]
-        if x.isascii() and y.isascii() and x.isalnum() and y.isalnum() and "number" in (kind(x), kind(y)) and any(s[0] == i for s in spans[first : first + count]):
+    starts, ends = p.starts[first : first + count].tolist(), p.ends[first : first + count].tolist()
+    for before, i in zip(ends[:-1], starts[1:], strict=True):
+        if any(c in " \t\n\r\v\f" for c in p.text[before:i]):
+            return True
+        x, y = p.text[i - 1], p.text[i : i + 1]
+        if before == i and x.isascii() and y.isascii() and x.isalnum() and y.isalnum() and "number" in (kind(x), kind(y)):
             return True
     return False
 
 
-def tree(tok, text: str, leaf: int = LEAF) -> Piece:
-    """The encoding of one unsplit text, from its leaves upwards."""
+def halves(text: str, leaf: int) -> list[str]:
+    """The text's leaves, in order."""
     parts = [text]
     while max(map(len, parts)) > leaf:
         parts = [h for p in parts for h in ((p[: len(p) // 2], p[len(p) // 2 :]) if len(p) > 1 else (p,))]
-    level = encoded(tok, parts)
+    return parts
+
+
+def grown(tok, level: list[Piece]) -> Piece:
+    """The encoding of the leaves' whole text."""
     while len(level) > 1:
         level = [concatenated(tok, *level[i : i + 2]) if i + 1 < len(level) else level[i] for i in range(0, len(level), 2)]
     return level[0]
 
 
+def tree(tok, text: str, leaf: int = LEAF) -> Piece:
+    """The encoding of one text, from its leaves upwards, in one place."""
+    return grown(tok, encoded(tok, halves(text, leaf)))
+
+
 def ragged(values: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """values[s : s + n] for each start and count, one after another."""
     total = np.cumsum(counts)
@@ -115,28 +136,21 @@ def ragged(values: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.nda
     return values[np.arange(n) + np.repeat(starts - (total - counts), counts)]
 
 
-def run_ids(tok, runs: list[str], leaf: int) -> list[list[int]]:
-    """Tokens of each run; those longer than a leaf come from a tree."""
-    out: list[list[int]] = [[]] * len(runs)
-    short = [i for i, r in enumerate(runs) if len(r) <= leaf]
-    for k in range(0, len(short), 20_000):
-        some = short[k : k + 20_000]
-        for i, e in zip(some, tok.encode_batch_fast([runs[i] for i in some], add_special_tokens=False), strict=True):
-            out[i] = e.ids
-    for i, r in enumerate(runs):
-        if len(r) > leaf:
-            out[i] = tree(tok, r, leaf).ids
-    return out
+def run_ids(tok, runs: list[str]) -> list[list[int]]:
+    """Tokens of each run."""
+    return [e.ids for k in range(0, len(runs), 20_000) for e in tok.encode_batch_fast(runs[k : k + 20_000], add_special_tokens=False)]
 
 
-def encoder(path: str, leaf: int):
+def encoder(path: str):
+    """Whole short texts, by their runs."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = tokenizer(path)
         for batch in slices(batches):
             flat, offsets = words_of(batch.column("text"))
             coded = flat.dictionary_encode()
             codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-            lists = run_ids(tok, coded.dictionary.to_pylist(), leaf)
+            lists = run_ids(tok, coded.dictionary.to_pylist())
             counts = np.fromiter(map(len, lists), np.int64, len(lists))
             values = np.fromiter((x for ids in lists for x in ids), np.int32, int(counts.sum()))
             starts = np.cumsum(counts) - counts
@@ -152,14 +166,102 @@ def encoder(path: str, leaf: int):
     return run
 
 
+def leaf_rows(rows: list[tuple]) -> pa.RecordBatch:
+    types = (pa.binary(), pa.int32(), pa.int32(), pa.int64(), pa.string(), pa.binary())
+    columns = list(zip(*rows, strict=True)) if rows else [()] * 6
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["key", "salt", "no", "doc_id", "text", "packed"])
+
+
+def cut(leaf: int):
+    """For each long text a row that claims its encoding (no -1), and its leaves. Copies of a text share a key, up to their salt."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            rows: list[tuple] = []
+            for i, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                key, salt = hashlib.sha256(text.encode()).digest()[:20], hash(i or 0) % SALTS
+                rows.append((key, salt, -1, i, None, None))
+                rows += [(key, salt, no, None, part, None) for no, part in enumerate(halves(text, leaf))]
+            yield leaf_rows(rows)
+
+    return run
+
+
+def distinct_leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """Rows of sorted batches, a leaf that repeats only once."""
+    last = None
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if row[2] < 0 or row[:3] != last:
+                yield row
+            last = row[:3]
+
+
+def leaves(path: str):
+    """Each leaf with its tokens and their places."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tok = tokenizer(path)
+        held: list[tuple] = []
+
+        def flushed() -> pa.RecordBatch:
+            told = encoded(tok, [r[4] for r in held if r[2] >= 0])
+            packs = iter([np.stack([p.ids, p.starts, p.ends]).astype("<i4").tobytes() for p in told])
+            return leaf_rows([(*r[:5], next(packs) if r[2] >= 0 else None) for r in held])
+
+        for row in distinct_leaves(batches):
+            held.append(row)
+            if len(held) >= 256:
+                yield flushed()
+                held = []
+        if held:
+            yield flushed()
+
+    return run
+
+
+def joined(path: str):
+    """The rows that claim a text, with its tokens: a text at a time, its leaves joined up the tree."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tok = tokenizer(path)
+        key, claims, parts = None, [], []
+
+        def whole() -> pa.RecordBatch:
+            ids = grown(tok, parts).ids.tolist()
+            said = tok.decode(ids, skip_special_tokens=False)
+            return pa.RecordBatch.from_arrays([pa.array(claims, pa.int64()), pa.array([ids] * len(claims), pa.list_(pa.int32())), pa.array([said] * len(claims), pa.string())], names=["doc_id", "ids", "decoded"])
+
+        for batch in batches:
+            for k, salt, no, i, text, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (k, salt) != key:
+                    if parts:
+                        yield whole()
+                    key, claims, parts = (k, salt), [], []
+                if no < 0:
+                    claims.append(i)
+                else:
+                    ids, starts, ends = np.frombuffer(packed, "<i4").reshape(3, -1)
+                    parts.append(Piece(text, ids, starts.astype(np.int64), ends.astype(np.int64)))
+        if parts:
+            yield whole()
+
+    return run
+
+
 def bpe(docs: DataFrame, path: str, leaf: int = LEAF) -> DataFrame:
     """Encodes each whole text and decodes the tokens: doc_id, ids, decoded, a row for each row of docs.
 
     A null text counts as empty: no ids, and decoded ''. Rows that repeat or have no doc_id come out as they are; other
-    columns are ignored. path: a tokenizer file whose pre-tokens don't cross white space and that has no decoder, so that tokens
-    are joined by a space.
+    columns are ignored. A text of more than `leaf` characters is encoded as a tree, whose leaves several tasks encode. path: a tokenizer
+    file whose pre-tokens don't cross white space and that has no decoder, so that tokens are joined by a space.
     """
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(encoder(path, leaf), OUT)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    is_long = F.coalesce(F.length("text"), F.lit(0)) > leaf
+    tasks = max(32, text_bytes(docs) // TASK_BYTES)
+    dealt = rows.where(is_long).mapInArrow(cut(leaf), LEAVES).repartition(tasks, "key", "salt", "no").sortWithinPartitions("key", "salt", "no")
+    whole = dealt.mapInArrow(leaves(path), LEAVES).repartition(tasks, "key", "salt").sortWithinPartitions("key", "salt", "no")
+    return rows.where(~is_long).mapInArrow(encoder(path), OUT).unionByName(whole.mapInArrow(joined(path), OUT))
 
 
 def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
