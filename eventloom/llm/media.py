@@ -13,7 +13,6 @@ import io
 import wave
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,10 +21,10 @@ from pyspark.sql import functions as F
 
 from .common import slices
 
-RATE, UP, DOWN, TAPS = 16_000, 1, 2, 16
+RATE, UP, DOWN, TAPS = 16_000, 2, 3, 16
 FRAME, HOP, MELS, SPANS = 256, 128, 16, 8
 BLOCK = 2048
-OUT = "doc_id long, n_bytes long, media binary, media_bytes long, media_sha256 string, payload_bytes long, payload_sha256 string, tail_crc32 long, n_frames long, segments array<struct<start:double,end:double>>, logmel array<float>"
+OUT = "doc_id long, n_bytes long, media binary, media_bytes long, media_sha256 string, payload_bytes long, payload_sha256 string, tail_crc32 long, n_frames long, segments array<struct<start:double,end:double>>, tensor binary, spans array<struct<start:double,end:double>>, logmel array<float>"
 
 
 def padded(data: bytes) -> bytes:
@@ -47,7 +46,6 @@ def read_sound(media: bytes) -> bytes:
         return r.readframes(r.getnframes())
 
 
-@lru_cache(maxsize=8)
 def phases(up: int, down: int, taps: int) -> np.ndarray:
     """The low-pass filter dealt out to its phases: row p serves the outputs whose place times down leaves p when divided by up."""
     n = taps * up
@@ -57,9 +55,9 @@ def phases(up: int, down: int, taps: int) -> np.ndarray:
     return np.ascontiguousarray(h.reshape(taps, up).T[:, ::-1]).astype(np.float32)
 
 
-def resampled(samples: np.ndarray, start: int, stop: int, up: int = UP, down: int = DOWN, taps: int = TAPS) -> np.ndarray:
+def resampled(samples: np.ndarray, start: int, stop: int, up: int = UP, down: int = DOWN, taps: int = TAPS, bank: np.ndarray | None = None) -> np.ndarray:
     """Outputs start to stop of the polyphase resampling of 8-bit samples; silence before and after them."""
-    bank = phases(up, down, taps)
+    bank = phases(up, down, taps) if bank is None else bank
     at = np.arange(start, stop, dtype=np.int64) * down
     first = at // up - taps // 2 + 1
     lo, hi = int(first[0]), int(first[-1]) + taps
@@ -76,8 +74,7 @@ def resampled(samples: np.ndarray, start: int, stop: int, up: int = UP, down: in
     return out
 
 
-@lru_cache(maxsize=2)
-def filterbank(rate: int, frame: int, mels: int) -> tuple[np.ndarray, np.ndarray]:
+def filterbank(rate: float, frame: int, mels: int) -> tuple[np.ndarray, np.ndarray]:
     mel = lambda f: 2595 * np.log10(1 + f / 700)
     edges = 700 * (10 ** (np.linspace(mel(40), mel(rate / 2), mels + 2) / 2595) - 1)
     freq = np.fft.rfftfreq(frame, 1 / rate)
@@ -86,24 +83,34 @@ def filterbank(rate: int, frame: int, mels: int) -> tuple[np.ndarray, np.ndarray
     return np.maximum(0, np.minimum(up, down)).astype(np.float32), np.hanning(frame).astype(np.float32)
 
 
-def features(samples: np.ndarray) -> tuple[int, np.ndarray, list[tuple[float, float]], np.ndarray]:
-    """Frames, their log energies, segments in seconds, and SPANS x MELS means of the log-mel values."""
-    rate = RATE * UP // DOWN
-    bank, window = filterbank(rate, FRAME, MELS)
+class Tools:
+    """Filters that are the same for every sound; each task makes them once."""
+
+    def __init__(self):
+        self.rate = RATE * UP / DOWN
+        self.phases = phases(UP, DOWN, TAPS)
+        self.bank, self.window = filterbank(self.rate, FRAME, MELS)
+
+
+def features(samples: np.ndarray, tools: Tools) -> tuple[int, list[tuple[float, float]], list[tuple[float, float]], np.ndarray]:
+    """Frames, segments in seconds, the time spans of the tensor's rows, and the tensor: SPANS x MELS means of the log-mel values."""
+    rate, bank, window = tools.rate, tools.bank, tools.window
     length = -(-len(samples) * UP // DOWN)
     n = max(1, -(-(length - FRAME) // HOP) + 1)
     span = np.minimum(np.arange(n) * SPANS // n, SPANS - 1)
     sums, counts, energy = np.zeros((SPANS, MELS)), np.bincount(span, minlength=SPANS), np.empty(n)
     for a in range(0, n, BLOCK):
         b = min(n, a + BLOCK)
-        sound = resampled(samples, a * HOP, (b - 1) * HOP + FRAME)
+        sound = resampled(samples, a * HOP, (b - 1) * HOP + FRAME, bank=tools.phases)
         frames = np.lib.stride_tricks.sliding_window_view(sound, FRAME)[::HOP] * window
         power = np.abs(np.fft.rfft(frames, axis=1)).astype(np.float32) ** 2
         logs = np.log(power @ bank + 1e-6)
         energy[a:b] = np.log(power.sum(axis=1) + 1e-6)
         at = np.flatnonzero(np.diff(span[a:b], prepend=-1))
         sums[span[a:b][at]] += np.add.reduceat(logs, at, axis=0)
-    return n, energy, segments(energy, HOP / rate), (sums / np.maximum(counts, 1)[:, None]).astype(np.float32)
+    ends = np.cumsum(counts)
+    spans = [(round(int(x) * HOP / rate, 6), round(((int(y) - 1) * HOP + FRAME) / rate, 6)) if y > x else (0.0, 0.0) for x, y in zip(ends - counts, ends, strict=True)]
+    return n, segments(energy, HOP / rate), spans, (sums / np.maximum(counts, 1)[:, None]).astype(np.float32)
 
 
 def segments(energy: np.ndarray, step: float) -> list[tuple[float, float]]:
@@ -116,7 +123,19 @@ def segments(energy: np.ndarray, step: float) -> list[tuple[float, float]]:
     return [(round(a * step, 6), round(b * step, 6)) for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True)]
 
 
+def as_tensor(values: np.ndarray) -> bytes:
+    """An Arrow tensor message: shape, type and values."""
+    out = pa.BufferOutputStream()
+    pa.ipc.write_tensor(pa.Tensor.from_numpy(values, dim_names=["span", "mel"]), out)
+    return out.getvalue().to_pybytes()
+
+
+def from_tensor(message: bytes) -> np.ndarray:
+    return pa.ipc.read_tensor(pa.BufferReader(message)).to_numpy()
+
+
 def sounds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    tools = Tools()
     for batch in slices(batches):
         ids = batch.column("doc_id").cast(pa.int64()).to_pylist()
         out: list[dict] = []
@@ -124,39 +143,34 @@ def sounds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             data = text or b""
             media = stored_sound(padded(data))
             payload = read_sound(media)
-            n, _, spans, mel = features(np.frombuffer(payload, np.uint8))
+            n, loud, spans, mel = features(np.frombuffer(payload, np.uint8), tools)
+            tensor = as_tensor(mel)
             out.append(
                 {"doc_id": i, "n_bytes": len(data), "media": media, "media_bytes": len(media), "media_sha256": hashlib.sha256(media).hexdigest(), "payload_bytes": len(payload), "payload_sha256": hashlib.sha256(payload).hexdigest(), "tail_crc32": zlib.crc32(payload[-64:])}
-                | {"n_frames": n, "segments": [{"start": a, "end": b} for a, b in spans], "logmel": mel.ravel().tolist()}
+                | {"n_frames": n, "segments": [{"start": a, "end": b} for a, b in loud], "tensor": tensor, "spans": [{"start": a, "end": b} for a, b in spans], "logmel": from_tensor(tensor).ravel().tolist()}
             )
         yield pa.RecordBatch.from_pylist(out, schema=SCHEMA)
 
 
 SCHEMA = pa.schema(
     [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("media", pa.binary()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("n_frames", pa.int64())]
-    + [("segments", pa.list_(pa.struct([("start", pa.float64()), ("end", pa.float64())]))), ("logmel", pa.list_(pa.float32()))]
+    + [("segments", pa.list_(pa.struct([("start", pa.float64()), ("end", pa.float64())]))), ("tensor", pa.binary()), ("spans", pa.list_(pa.struct([("start", pa.float64()), ("end", pa.float64())]))), ("logmel", pa.list_(pa.float32()))]
 )
 
 
 def media_columns(docs: DataFrame) -> DataFrame:
     """Each text's sound and its features, a row for each row of docs.
 
-    logmel holds SPANS x MELS values in row order (see tensors()). A null text counts as empty: 64 bytes of 0. Rows that repeat or
+    tensor is an Arrow tensor of SPANS x MELS log-mel means (see from_tensor()), spans the time of each of its rows (0 to 0 where the sound has
+    fewer frames than rows), and logmel its values as read back. segments are all stretches of sound above the threshold. A null text counts as empty: 64 bytes of 0. Rows that repeat or
     have no doc_id come out as they are; other columns are ignored.
     """
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(sounds, OUT)
 
 
-def tensors(values: pa.Array) -> pa.ExtensionArray:
-    """A logmel column as an Arrow array of fixed-shape tensors."""
-    kind = pa.fixed_shape_tensor(pa.float32(), (SPANS, MELS), dim_names=("span", "mel"))
-    fixed = pa.FixedSizeListArray.from_arrays(values.flatten(), SPANS * MELS)
-    return pa.ExtensionArray.from_storage(kind, fixed)
-
-
 def op9_media(spark, sf_dir: str) -> DataFrame:
     out = media_columns(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    spans = F.transform(F.slice("segments", 1, 3), lambda s: F.format_string("%.3f-%.3f", s["start"], s["end"]))
+    spans = F.transform("segments", lambda s: F.format_string("%.3f-%.3f", s["start"], s["end"]))
     values = F.transform("logmel", lambda x: F.format_string("%.2f", x))
     feature = F.concat_ws("|", F.concat(F.lit("frames="), "n_frames"), F.concat(F.lit("segments="), F.size("segments"), F.lit(":"), F.concat_ws(",", spans)), F.concat(F.lit("logmel="), F.concat_ws(",", values)))
     return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))
