@@ -42,9 +42,9 @@ def uniform(doc_id: Column, text: Column, seed: int) -> Column:
 
 
 def placed(docs: DataFrame) -> DataFrame:
-    """doc_id, text, the three dimensions ('' for null), under names of their own."""
+    """Each row as a struct, and its doc_id, text and the three dimensions ('' for null) under names that no column of docs can clash with."""
     topic = F.col("topic").cast("string") if "topic" in docs.columns else topic_of(F.col("text"))
-    return docs.select("*", F.coalesce(F.col("source").cast("string"), F.lit("")).alias("_source"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("_lang"), F.coalesce(topic, F.lit("")).alias("_topic"))
+    return docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("_row"), F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("_text"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("_source"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("_lang"), F.coalesce(topic, F.lit("")).alias("_topic"))
 
 
 def smoothed(cells: DataFrame, smooth: dict[str, float]) -> dict[str, DataFrame]:
@@ -77,6 +77,15 @@ def raked(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS,
     return cells
 
 
+def off_by(cells: DataFrame, targets: dict[str, DataFrame]) -> dict[str, float]:
+    """By dimension, the largest difference between the raked cells' share of a value and its target."""
+    out = {}
+    for d in DIMENSIONS:
+        sums = cells.groupBy(f"_{d}").agg(F.sum("weight").alias("now")).join(targets[d], f"_{d}", "full")
+        out[d] = float(sums.agg(F.max(F.abs(F.coalesce("now", F.lit(0.0)) - F.coalesce("target", F.lit(0.0))))).first()[0] or 0.0)
+    return out
+
+
 def calibrated(cells: DataFrame, budget: float) -> DataFrame:
     """Each cell's rate: least(1, k * weight / tokens), with k so that budget * tokens are expected."""
     aim = budget * float(cells.agg(F.sum("tokens")).first()[0] or 0)
@@ -96,19 +105,19 @@ def mixed(docs: DataFrame, targets: dict[str, DataFrame] | None = None, budget:
     """docs with n_tokens, topic, probability and kept, a row for each row of docs.
 
     targets: for each of source, lang and topic a table with _source, _lang or _topic and target (shares); without, tokens' shares to the
-    power SMOOTH. Null source, language or topic count as ''. A document without words has probability 0. A value without
+    power SMOOTH. Raking ends when no factor is off by ERROR or more, or after ROUNDS; off_by() tells how far the marginals are then. Null source, language or topic count as ''. A document without words has probability 0. A value without
     a target is not sampled. Rows with the same doc_id are kept or not together; without doc_id, by their text. Columns of docs stay,
     but for any of these four names; a column topic is used where docs has one.
     """
     new = ("n_tokens", "topic", "probability", "kept")
     rows = placed(docs)
-    counts = rows.groupBy("_source", "_lang", "_topic").agg(F.sum(tokens_of(F.col("text"))).alias("tokens"))
+    counts = rows.groupBy("_source", "_lang", "_topic").agg(F.sum(tokens_of(F.col("_text"))).alias("tokens"))
     cells = stored(counts, "cells")
     rates = stored(calibrated(raked(cells, targets or smoothed(cells, SMOOTH)), budget).select("_source", "_lang", "_topic", "rate"), "rates")
-    n = tokens_of(F.col("text"))
+    n = tokens_of(F.col("_text"))
     out = rows.join(rates, ["_source", "_lang", "_topic"], "left")
     probability = F.when(n > 0, F.coalesce("rate", F.lit(0.0))).otherwise(0.0)
-    return out.select(*[F.col(c) for c in docs.columns if c not in new], n.alias("n_tokens"), F.col("_topic").alias("topic"), probability.alias("probability"), (uniform(F.col("doc_id"), F.col("text"), seed) < probability).alias("kept"))
+    return out.select(*[F.col("_row")[c].alias(c) for c in docs.columns if c not in new], n.alias("n_tokens"), F.col("_topic").alias("topic"), probability.alias("probability"), (uniform(F.col("_id"), F.col("_text"), seed) < probability).alias("kept"))
 
 
 def op7_mixing(spark, sf_dir: str) -> DataFrame:
