@@ -35,17 +35,26 @@ def training(docs: DataFrame, labels: DataFrame, column: str, per_class: int = P
 
 
 def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rows with the smallest of their three-word hashes under three hash functions: s0, s1, s2."""
+    """The rows with the smallest of their three-word hashes under three hash functions: s0, s1, s2.
+
+    A text of one or two words has its whole sequence as the one hash, one without words has 0. It depends on the text alone.
+    """
     for b in slices(batches):
         flat, offsets = words_of(b.column("text"))
-        hashes, _ = word_hashes(flat)
-        hashes = rolling(np.append(hashes, np.zeros(2, np.uint64)), 3)
-        full = np.flatnonzero(np.diff(offsets))
+        words, _ = word_hashes(flat)
+        counts = np.diff(offsets)
+        hashes = rolling(np.append(words, np.zeros(2, np.uint64)), 3)
+        valid = np.repeat(offsets[1:], counts) - np.arange(len(words)) >= 3
+        for d in np.flatnonzero((counts > 0) & (counts < 3)).tolist():
+            at = offsets[d]
+            hashes[at] = mixed(words[at : at + 1] if counts[d] == 1 else words[at : at + 1] * np.uint64(3) + words[at + 1 : at + 2])[0]
+            valid[at] = True
+        full = np.flatnonzero(counts)
         out = []
         for salt in (1, 2, 3):
-            least = np.zeros(len(offsets) - 1, np.uint64)
+            least = np.zeros(len(counts), np.uint64)
             if len(full):
-                least[full] = np.minimum.reduceat(mixed(hashes ^ np.uint64(salt)), offsets[full])
+                least[full] = np.minimum.reduceat(np.where(valid, mixed(hashes ^ np.uint64(salt)), np.uint64(2**64 - 1)), offsets[full])
             out.append(pa.array(least.view(np.int64)))
         yield pa.RecordBatch.from_arrays([*b.columns, *out], names=[*b.schema.names, "s0", "s1", "s2"])
 

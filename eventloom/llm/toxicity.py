@@ -27,9 +27,9 @@ from .labelled import PER_CLASS, independent, texts_of, training
 #: Kinds of patterns: whole words (0) and beginnings of so many letters.
 KINDS = (0, 4, 5, 6, 7)
 GROUPS = 6
-#: Patterns at most; in toxic documents at least, how much likelier there than elsewhere, and the least likelihood ratio (G) as a
+#: In toxic documents at least, how much likelier there than elsewhere, and the least likelihood ratio (G) as a
 #: multiple of the logarithm of the documents that patterns are mined from.
-PATTERNS, LEAST, LIFT, SURE = 4096, 3, 8.0, 3.0
+LEAST, LIFT, SURE = 3, 8.0, 3.0
 THRESHOLD = 0.3
 #: Letters of a word at most; a longer piece is several words.
 LONG = 40
@@ -100,13 +100,13 @@ def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def mined(sample: DataFrame, n_pos: int, n_neg: int) -> list[str]:
-    """Patterns that mark toxic documents, the strongest first; PATTERNS rows reach the driver at most."""
+    """Patterns that mark toxic documents, the strongest first. They come from the sample, which is bounded, and each needs LEAST toxic documents of it."""
     found = sample.mapInArrow(counted, "pattern string, pos long, neg long").groupBy("pattern").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     lift = ((F.col("pos") + 0.5) / (n_pos + 1)) / ((F.col("neg") + 0.5) / (n_neg + 1))
     share = n_pos / (n_pos + n_neg)
     part = lambda c, p: F.when(F.col(c) > 0, F.col(c) * F.log(F.col(c) / ((F.col("pos") + F.col("neg")) * F.lit(p)))).otherwise(0.0)
     rows = found.withColumn("worth", 2 * (part("pos", share) + part("neg", 1 - share))).where((F.col("pos") >= LEAST) & (lift >= LIFT) & (F.col("worth") >= SURE * math.log(n_pos + n_neg)))
-    return [r["pattern"] for r in rows.orderBy(F.desc("worth"), "pattern").limit(PATTERNS).collect()]
+    return [r["pattern"] for r in rows.orderBy(F.desc("worth"), "pattern").collect()]
 
 
 def voter_of(pattern: str) -> int:
@@ -189,11 +189,11 @@ def fitted(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tu
         for b in slices(batches):
             doc, pattern, _ = document_patterns(b.column("text"), wanted)
             parts = np.split(pattern, np.searchsorted(doc, np.arange(1, b.num_rows)))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), pa.array([p.astype(np.int16).tobytes() for p in parts], pa.binary())], names=["doc_id", "y", "m"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), pa.array([p.astype(np.int32).tobytes() for p in parts], pa.binary())], names=["doc_id", "y", "m"])
 
     rows = sample.mapInArrow(run, "doc_id long, y int, m binary").collect()
     rows.sort(key=lambda r: (r["doc_id"], bytes(r["m"])))
-    matches = [np.frombuffer(r["m"], np.int16).astype(np.int64) for r in rows]
+    matches = [np.frombuffer(r["m"], np.int32).astype(np.int64) for r in rows]
     y = np.array([r["y"] for r in rows], float)
     if len(n) < 2:
         line = Linear([], np.zeros(0), 0, 0)
