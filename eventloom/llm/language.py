@@ -21,12 +21,12 @@ from pyspark.sql import functions as F
 from .common import slices, stored, table
 
 ROWS = 1 << 15
-#: Languages at most, the most frequent; trigrams of a page count as so many at most, for they aren't independent.
-LANGUAGES, EVIDENCE, SMOOTH_HOST = 64, 40.0, 8.0
+#: Trigrams of a page count as so many at most, for they aren't independent; pages that a host's prior counts as.
+EVIDENCE, SMOOTH_HOST = 40.0, 8.0
 PIECES = "lang string, part int, counts binary"
 PAGES = "page_id long, host string, domain string, suffix string, path string, declared string, logs array<double>"
 SKIP = re.compile(r"(?is)<(script|style|nav|header|footer|aside)\b.*?</\1\s*>|<!--.*?-->|<div[^>]*class=[\"']?ad\b.*?</div>")
-MAIN = re.compile(r"(?is)<(article|main)\b[^>]*>(.*?)(?:</\1\s*>|$)")
+MAIN = re.compile(r"(?i)<(/?)(?:article|main)\b[^>]*>")
 TAG = re.compile(r"(?s)<[^>]*>")
 DECLARED = re.compile(r"(?is)<html\b[^>]*?\blang\s*=\s*[\"']?([a-z]{2,3})")
 ADDRESS = re.compile(r"(?is)^[a-z][a-z0-9+.-]*://(?:[^/@]*@)?([^/:?#]*)[^/?#]*(/[^?#]*)?")
@@ -43,6 +43,20 @@ def plain(text: str | None) -> bytes:
     return b" " + re.sub(r"[\W\d_]+", " ", (text or "").lower()).strip().encode() + b" "
 
 
+def main_text(body: str) -> str:
+    """What stands inside articles and mains, several and nested ones too; the whole body where they hold no words or there are none."""
+    parts, depth, start = [], 0, 0
+    for m in MAIN.finditer(body):
+        if depth:
+            parts.append(body[start : m.start()])
+        depth = max(0, depth - 1) if m[1] else depth + 1
+        start = m.end()
+    if depth:
+        parts.append(body[start:])
+    inside = markup.unescape(TAG.sub(" ", " ".join(parts)))
+    return inside if any(map(str.isalpha, inside)) else markup.unescape(TAG.sub(" ", body))
+
+
 def counted(languages: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = {x: np.zeros(ROWS, np.int64) for x in languages}
@@ -63,9 +77,9 @@ def summed(group: pa.Table) -> pa.Table:
 
 
 def trained(docs: DataFrame) -> tuple[list[str], np.ndarray]:
-    """Languages in order, and the logarithm of each trigram row's share in each, from all documents."""
+    """All languages in order, and the logarithm of each trigram row's share in each, from all documents; ROWS numbers for each language reach the driver."""
     known = docs.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).where("lang is not null and text is not null")
-    languages = sorted(r["lang"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect())
+    languages = sorted(r["lang"] for r in known.select("lang").distinct().collect())
     piles = known.mapInArrow(counted(languages), PIECES).groupBy("lang", "part").applyInArrow(summed, PIECES)
     logs = np.zeros((len(languages), ROWS))
     for r in piles.groupBy("lang").applyInArrow(summed, PIECES).collect():
@@ -88,10 +102,9 @@ def evidence(languages: list[str], logs: np.ndarray):
                 page = page or ""
                 d = DECLARED.search(page)
                 body = SKIP.sub(" ", page)
-                main = MAIN.search(body)
-                grams = trigrams(plain(markup.unescape(TAG.sub(" ", main[2] if main else body))))
+                grams = trigrams(plain(main_text(body)))
                 said = logs[:, grams].sum(axis=1, dtype=np.float64) * min(1.0, EVIDENCE / max(1, len(grams))) if len(grams) else np.zeros(len(languages))
-                values = (i, host, ".".join(host.split(".")[-2:]), host.split(".")[-1][:16], next((p for p in marks if p in known), ""), d[1].lower() if d and d[1].lower() in known else "" if not d else "other", said.tolist())
+                values = (i, host, ".".join(host.split(".")[-2:]), host.split(".")[-1], next((p for p in marks if p in known), ""), d[1].lower() if d and d[1].lower() in known else "" if not d else "other", said.tolist())
                 for c, v in zip(out, values, strict=True):
                     c.append(v)
             types = [pa.int64(), *[pa.string()] * 5, pa.list_(pa.float64())]
@@ -103,7 +116,8 @@ def evidence(languages: list[str], logs: np.ndarray):
 def language_id(pages: DataFrame, docs: DataFrame) -> DataFrame:
     """page_id, host, declared, text_lang, lang and probability, a row for each row of pages.
 
-    docs: doc_id, text and lang to learn text likelihoods from. Null html or url say nothing; a page without any evidence has the
+    docs: doc_id, text and lang to learn text likelihoods from, of every language that occurs. A page's text is that of its articles and
+    mains, all of them, else of its body, without navigation, headers, footers and asides. Null html or url say nothing; a page without any evidence has the
     prior of all pages. Ties go to the language that is first in order. Without labelled documents, lang is null. Rows that
     repeat come out alike; other columns are ignored.
     """

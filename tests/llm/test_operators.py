@@ -161,23 +161,36 @@ def test_topk_bounds_hold():
 
 def test_bpe_is_the_library(docs, none):
     tok = bpe.tokenizer(bpe.vocabulary_path())
-    for r in bpe.bpe(docs, bpe.vocabulary_path(), leaf=16).collect():
-        text = {x.doc_id: x.text or "" for x in docs.collect()}[r.doc_id] if r.doc_id < 30 else None
-        if text is not None:
-            e = tok.encode(text, add_special_tokens=False).ids
+    text = {x.doc_id: x.text or "" for x in docs.collect()}
+    for leaf in (16, 10_000):
+        got = bpe.bpe(docs, bpe.vocabulary_path(), leaf=leaf).collect()
+        assert sorted(r.doc_id for r in got) == sorted(text)
+        for r in got:
+            e = tok.encode(text[r.doc_id], add_special_tokens=False).ids
             assert r.ids == e and r.decoded == tok.decode(e, skip_special_tokens=False)
     assert bpe.bpe(none, bpe.vocabulary_path()).count() == 0
 
 
+def test_bpe_long_copies(spark):
+    """Copies of long texts, with and without doc_id, come out row by row; so does a long text without white space."""
+    rng = random.Random(7)
+    long = " ".join(rng.choice(["the", "ing's", "É 12", "a-b", "日本"]) for _ in range(9000))
+    rows = [(1, long), (1, long), (2, long), (None, long), (3, "ab9" * 15_000), (4, "xyz" * 9_000), (5, None)]
+    tok = bpe.tokenizer(bpe.vocabulary_path())
+    got = bpe.bpe(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), bpe.vocabulary_path()).collect()
+    want = [(i or 0, tok.encode(t or "", add_special_tokens=False).ids) for i, t in rows]
+    assert sorted((r.doc_id or 0, r.ids) for r in got) == sorted(want)
+
+
 def test_bpe_tree():
     tok, rng = bpe.tokenizer(bpe.vocabulary_path()), random.Random(4)
     parts = ["a", "the", "ing", "'s", "'", "re", "9", "12", "é", "́", "中", "!!", "<|startoftext|>", "<|end", "oftext|>", "​", "İ", "½", " ", "\x00", "ﬁ"]
     for size in (1, 30, 400):
         for _ in range(30):
             text = "".join(rng.choice(parts) for _ in range(size))
-            assert bpe.tree(tok, text, 16).ids == tok.encode(text, add_special_tokens=False).ids
+            assert bpe.tree(tok, text, 16).ids.tolist() == tok.encode(text, add_special_tokens=False).ids
     long = "ab9" * 20_000
-    assert bpe.tree(tok, long).ids == tok.encode(long, add_special_tokens=False).ids
+    assert bpe.tree(tok, long).ids.tolist() == tok.encode(long, add_special_tokens=False).ids
 
 
 def one_edit(a, b):
@@ -216,6 +229,7 @@ def test_media(docs, none):
         data = text[r.doc_id].encode()
         assert media.read_sound(r.media) == media.padded(data) and r.n_bytes == len(data) and r.payload_bytes % 64 == 0 < r.payload_bytes
         assert r.payload_sha256 == hashlib.sha256(media.padded(data)).hexdigest() and len(r.logmel) == media.SPANS * media.MELS
+        assert media.from_tensor(r.tensor).shape == (media.SPANS, media.MELS) and media.from_tensor(r.tensor).ravel().tolist() == r.logmel and len(r.spans) == media.SPANS
     assert media.media_columns(none).count() == 0
 
 
@@ -223,6 +237,11 @@ def test_media_blocks_agree():
     x = np.random.default_rng(1).integers(0, 256, 5000).astype(np.uint8)
     whole = media.resampled(x, 0, 2500)
     assert np.allclose(np.concatenate([media.resampled(x, a, a + 500) for a in range(0, 2500, 500)]), whole, atol=1e-6)
+    bank = media.phases(media.UP, media.DOWN, media.TAPS)
+    wave = np.concatenate([np.full(8, 0.0), (x - 128.0) / 128, np.full(8, 0.0)])
+    for o in (0, 1, 2, 777, 2499):  # an output by its definition: the taps of its phase over the samples around it
+        first = o * media.DOWN // media.UP - media.TAPS // 2 + 1
+        assert abs(whole[o] - wave[first + 8 : first + 8 + media.TAPS] @ bank[o * media.DOWN % media.UP]) < 1e-5
     wide = media.resampled(x, 0, 3000, 3, 5)
     t = np.arange(9000) / 100
     slow = ((np.sin(t) * 100) + 128).astype(np.uint8)
@@ -260,6 +279,51 @@ def test_mixing_rakes(spark, docs, none):
     assert len(out) == 70 and all(0 <= r.probability <= 1 and (r.n_tokens > 0 or not r.kept) for r in out)
     assert {r.doc_id: r.n_tokens for r in out} == {r.doc_id: len(WORD.findall(r.text or "")) for r in docs.collect()}
     assert mixing.mixed(none).count() == 0
+    clash = docs.selectExpr("*", "1 as rate", "'x' as _source", "2 as _lang", "3 as _topic", "4 as _row", "5 as weight", "6 as tokens")
+    got = mixing.mixed(clash)
+    assert got.columns[: len(clash.columns)] == clash.columns
+    assert {r.doc_id: (r.probability, r.kept) for r in got.collect()} == {r.doc_id: (r.probability, r.kept) for r in out}
+
+
+def test_mixing_by_hand(spark):
+    """Rates and kept rows against plain Python, and the error that raking leaves."""
+    rows = [(i, f"{'w ' * (i % 9 + 1)}", "ab"[i % 2], "xyz"[i % 3], "t") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, topic string")
+    out = mixing.mixed(docs).collect()
+    weight = {}
+    for i, t, s, l, _ in rows:
+        weight[s, l] = weight.get((s, l), 0) + len(t.split())
+    total, tokens = sum(weight.values()), dict(weight)
+    share = lambda k, p: {v: sum(w for c, w in tokens.items() if c[k] == v) ** p for v in {c[k] for c in tokens}}
+    want = [{v: x / sum(t.values()) for v, x in t.items()} for t in (share(0, 0.5), share(1, 0.7))]
+    weight = {c: w / total for c, w in weight.items()}
+    for _ in range(200):
+        for k in (0, 1):
+            now = {v: sum(w for c, w in weight.items() if c[k] == v) for v in want[k]}
+            weight = {c: w * want[k][c[k]] / now[c[k]] for c, w in weight.items()}
+    for r in out:
+        assert r.probability == pytest.approx(min(1, 0.5 * total * weight[r.source, r.lang] / tokens[r.source, r.lang]), rel=0.02)
+    cells = mixing.raked(spark.createDataFrame([(s, l, "t", n) for (s, l), n in tokens.items()], "_source string, _lang string, _topic string, tokens long"), mixing.smoothed(spark.createDataFrame([(s, l, "t", n) for (s, l), n in tokens.items()], "_source string, _lang string, _topic string, tokens long"), mixing.SMOOTH))
+    assert max(mixing.off_by(cells, mixing.smoothed(cells, mixing.SMOOTH)).values()) < 1e-3
+
+
+def test_pages_are_read_whole():
+    body = "<main>a<article>b<article>c</article>d</article></main>e<article>f</article>g"
+    assert language.main_text(body).split() == list("abcdf")
+    assert language.main_text("x<article> </article>y").split() == ["x", "y"] and language.main_text("<article>open").split() == ["open"]
+
+
+def test_signatures_depend_on_the_text_alone():
+    import pyarrow as pa
+
+    from eventloom.llm import labelled
+
+    def of(*texts):
+        got = pa.Table.from_batches(labelled.signed(iter([pa.RecordBatch.from_pydict({"text": pa.array(texts, pa.string())})]))).to_pylist()
+        return [(r["s0"], r["s1"], r["s2"]) for r in got]
+
+    texts = ["a b c", "x y z w", "a b c", "a", "a b", None, "", "a b c d"]
+    assert of(*texts) == [of(t)[0] for t in texts] and len(set(of("a", "b", "a b", "b a", "a b c"))) == 5
 
 
 def test_language(spark, none):
