@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, text_bytes, words_of
+from .common import deltas, dump, load, slices, text_bytes, words_of
 
 #: Characters of a leaf; a text of up to that many is encoded directly.
 LEAF = 16_384
@@ -27,6 +27,8 @@ LEAF = 16_384
 GROW = 8
 #: Text bytes that a task of leaves gets, about, and tasks that the copies of one long text are dealt over at most.
 TASK_BYTES, SALTS = 8_000_000, 64
+#: Leaves that a worker encodes at once, runs likewise, and text bytes whose runs it holds.
+HELD, RUNS, HELD_BYTES = 32, 4_000, 1_500_000
 VOCABULARY = "word_bpe_49k.json"
 OUT = "doc_id long, ids array<int>, decoded string"
 LEAVES = "key binary, salt int, no int, doc_id long, text string, packed binary"
@@ -138,7 +140,7 @@ def ragged(values: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.nda
 
 def run_ids(tok, runs: list[str]) -> list[list[int]]:
     """Tokens of each run."""
-    return [e.ids for k in range(0, len(runs), 20_000) for e in tok.encode_batch_fast(runs[k : k + 20_000], add_special_tokens=False)]
+    return [e.ids for k in range(0, len(runs), RUNS) for e in tok.encode_batch_fast(runs[k : k + RUNS], add_special_tokens=False)]
 
 
 def encoder(path: str):
@@ -146,7 +148,7 @@ def encoder(path: str):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = tokenizer(path)
-        for batch in slices(batches):
+        for batch in slices(batches, most=HELD_BYTES):
             flat, offsets = words_of(batch.column("text"))
             coded = flat.dictionary_encode()
             codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
@@ -176,7 +178,7 @@ def cut(leaf: int):
     """For each long text a row that claims its encoding (no -1), and its leaves. Copies of a text share a key, up to their salt."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, most=HELD_BYTES):
             rows: list[tuple] = []
             for i, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 key, salt = hashlib.sha256(text.encode()).digest()[:20], hash(i or 0) % SALTS
@@ -206,12 +208,12 @@ def leaves(path: str):
 
         def flushed() -> pa.RecordBatch:
             told = encoded(tok, [r[4] for r in held if r[2] >= 0])
-            packs = iter([np.stack([p.ids, p.starts, p.ends]).astype("<i4").tobytes() for p in told])
+            packs = iter([dump(p.ids, deltas(p.starts.astype(np.int32)), (p.ends - p.starts).astype(np.int32)) for p in told])
             return leaf_rows([(*r[:5], next(packs) if r[2] >= 0 else None) for r in held])
 
         for row in distinct_leaves(batches):
             held.append(row)
-            if len(held) >= 256:
+            if len(held) >= HELD:
                 yield flushed()
                 held = []
         if held:
@@ -241,8 +243,9 @@ def joined(path: str):
                 if no < 0:
                     claims.append(i)
                 else:
-                    ids, starts, ends = np.frombuffer(packed, "<i4").reshape(3, -1)
-                    parts.append(Piece(text, ids, starts.astype(np.int64), ends.astype(np.int64)))
+                    ids, steps, sizes = load(packed)
+                    starts = np.cumsum(steps, dtype=np.int64)
+                    parts.append(Piece(text, ids, starts, starts + sizes))
         if parts:
             yield whole()
 
