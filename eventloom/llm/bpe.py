@@ -22,13 +22,13 @@ from pyspark.sql import functions as F
 from .common import deltas, dump, load, slices, text_bytes, words_of
 
 #: Characters of a leaf; a text of up to that many is encoded directly.
-LEAF = 16_384
+LEAF = 32_768
 #: Tokens on each side of a join that are encoded again at first.
 GROW = 8
 #: Text bytes that a task of leaves gets, about, and tasks that the copies of one long text are dealt over at most.
 TASK_BYTES, SALTS = 8_000_000, 64
 #: Leaves that a worker encodes at once, runs likewise, and text bytes whose runs it holds.
-HELD, RUNS, HELD_BYTES = 32, 4_000, 1_500_000
+HELD, RUNS, HELD_BYTES = 32, 4_000, 3_000_000
 VOCABULARY = "word_bpe_49k.json"
 OUT = "doc_id long, ids array<int>, decoded string"
 LEAVES = "key binary, salt int, no int, doc_id long, text string, packed binary"
