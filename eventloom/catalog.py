@@ -270,7 +270,8 @@ def fold_workflow_steps_all(spark, d):
 
 ACTORS = f"""{L}, a AS (SELECT stream_id AS actor_id, seq, CASE event_type WHEN 'signup' THEN 'ActorOwnershipGranted' WHEN 'view' THEN 'ActorCommandSubmitted' WHEN 'error' THEN 'ActorCommandFailed' WHEN 'purchase' THEN 'ActorSnapshotCreated' ELSE 'ActorCommandApplied' END AS kind, event_type, payload FROM log),
   b AS (SELECT *, sum(CASE WHEN kind IN ('ActorCommandApplied', 'ActorCommandFailed') THEN 1 ELSE 0 END) OVER (PARTITION BY actor_id ORDER BY seq) AS c FROM a),
-  s AS (SELECT actor_id, coalesce(max(c) FILTER (kind = 'ActorSnapshotCreated'), 0) AS snap FROM b GROUP BY ALL)"""
+  g AS (SELECT *, count(*) FILTER (kind = 'ActorOwnershipGranted') OVER (PARTITION BY actor_id ORDER BY seq) AS grants FROM b),
+  s AS (SELECT actor_id, coalesce(arg_max(c, seq) FILTER (kind = 'ActorSnapshotCreated'), 0) AS snap FROM b GROUP BY ALL)"""
 
 
 def actor_events(spark, d):
@@ -283,9 +284,11 @@ def actor_events(spark, d):
 
 
 @query(
-    f"""{ACTORS} SELECT b.actor_id, arg_max('w' || (seq % 3), seq) FILTER (kind = 'ActorOwnershipGranted') AS owner, count(*) FILTER (kind = 'ActorOwnershipGranted') AS epoch,
-    CAST(coalesce(max(c) FILTER (kind IN ('ActorCommandSubmitted', 'ActorCommandApplied', 'ActorCommandFailed')), 0) AS BIGINT) AS submitted, CAST(coalesce(max(c) FILTER (kind IN ('ActorCommandApplied', 'ActorCommandFailed')), 0) AS BIGINT) AS applied,
-    arg_max(payload, seq) FILTER (kind = 'ActorSnapshotCreated' OR (kind = 'ActorCommandApplied' AND c > snap)) AS state, count(*) FILTER (kind IN ('ActorCommandApplied', 'ActorCommandFailed') AND c > snap) AS replayed_commands FROM b JOIN s USING (actor_id) GROUP BY b.actor_id"""
+    f"""{ACTORS} SELECT b.actor_id, arg_max('w' || (seq % 3), seq) FILTER (kind IN ('ActorOwnershipGranted', 'ActorSnapshotCreated') OR (kind IN ('ActorCommandApplied', 'ActorCommandFailed') AND c > snap)) AS owner,
+    coalesce(arg_max(grants, seq) FILTER (kind = 'ActorOwnershipGranted' OR (grants > 0 AND (kind = 'ActorSnapshotCreated' OR (kind IN ('ActorCommandApplied', 'ActorCommandFailed') AND c > snap)))), 0) AS epoch,
+    CAST(coalesce(greatest(max(c) FILTER (kind = 'ActorCommandSubmitted'), max(c) FILTER (kind IN ('ActorCommandApplied', 'ActorCommandFailed') AND c > snap), max(snap)), 0) AS BIGINT) AS submitted,
+    CAST(coalesce(arg_max(c, seq) FILTER (kind IN ('ActorCommandApplied', 'ActorCommandFailed') AND c > snap), max(snap), 0) AS BIGINT) AS applied,
+    arg_max(payload, seq) FILTER (kind = 'ActorSnapshotCreated' OR (kind = 'ActorCommandApplied' AND c > snap)) AS state, count(*) FILTER (kind IN ('ActorCommandApplied', 'ActorCommandFailed') AND c > snap) AS replayed_commands FROM g b JOIN s USING (actor_id) GROUP BY b.actor_id"""
 )
 def fold_actor_snapshot(spark, d):
     return folds.actors(actor_events(spark, d), use_snapshot=True)
@@ -301,18 +304,19 @@ def fold_inference_summary(spark, d):
     return folds.summary(log_of(spark, d))
 
 
-MODEL = """m AS (SELECT event_type AS model, 'v' || (event_id % 2) AS version, stream_id AS worker_id, stream_id, seq, timestamp_ms, CAST(floor(value) AS BIGINT) AS total_ms, CAST(floor(value / 3) AS BIGINT) AS load_ms, event_id % 3 = 0 AS cache_hit FROM log)"""
+MODEL = """m AS (SELECT event_type AS model, 'v' || (event_id % 2) AS version, stream_id AS worker_id, stream_id, seq, timestamp_ms, CAST(floor(value) AS BIGINT) AS total_ms, CAST(floor(value / 3) AS BIGINT) AS load_ms, CAST(floor(value / 5) AS BIGINT) AS fetch_ms, event_id % 7 AS evictions, event_id % 3 = 0 AS cache_hit FROM log)"""
 
 
 def model_events(spark, d):
     text = lambda p, c: F.concat(F.lit(p), c.cast("string"))
-    return log_of(spark, d).select(F.col("event_type").alias("model"), text("v", F.col("event_id") % 2).alias("version"), F.col("stream_id").alias("worker_id"), "stream_id", "seq", "timestamp_ms", F.floor("value").alias("total_ms"), F.floor(F.col("value") / 3).alias("load_ms"), (F.col("event_id") % 3 == 0).alias("cache_hit"))
+    return log_of(spark, d).select(F.col("event_type").alias("model"), text("v", F.col("event_id") % 2).alias("version"), F.col("stream_id").alias("worker_id"), "stream_id", "seq", "timestamp_ms", F.floor("value").alias("total_ms"), F.floor(F.col("value") / 3).alias("load_ms"), F.floor(F.col("value") / 5).alias("fetch_ms"), (F.col("event_id") % 7).alias("evictions"), (F.col("event_id") % 3 == 0).alias("cache_hit"))
 
 
 @query(
     f"""{L}, {MODEL} SELECT model, version, worker_id, count(*) AS requests, count(*) FILTER (cache_hit) AS hits,
-    list_reduce(list(total_ms ORDER BY timestamp_ms, stream_id, seq), lambda a, x: CAST(floor((a * 7 + x * 3) / 10) AS BIGINT)) AS ewma_total_ms,
-    list_reduce(list(load_ms ORDER BY timestamp_ms, stream_id, seq), lambda a, x: CAST(floor((a * 7 + x * 3) / 10) AS BIGINT)) AS ewma_load_ms, max(timestamp_ms) AS updated_ms FROM m WHERE total_ms > 0 GROUP BY ALL"""
+    list_reduce(list(total_ms ORDER BY timestamp_ms, stream_id, seq), lambda a, x: (a * 7 + x * 3) // 10) AS ewma_total_ms,
+    list_reduce(list(load_ms ORDER BY timestamp_ms, stream_id, seq), lambda a, x: (a * 7 + x * 3) // 10) AS ewma_load_ms,
+    list_reduce(list(fetch_ms ORDER BY timestamp_ms, stream_id, seq), lambda a, x: (a * 7 + x * 3) // 10) AS ewma_fetch_ms, list(evictions ORDER BY timestamp_ms, stream_id, seq)[-1] AS evictions, max(timestamp_ms) AS updated_ms FROM m WHERE total_ms > 0 GROUP BY ALL"""
 )
 def stats_ewma(spark, d):
     return folds.model_stats(model_events(spark, d))
@@ -488,3 +492,6 @@ def stream_window_counts(spark, d):
     rows = queries.stream(spark, d, "events").select(F.timestamp_millis(millis("ts")).alias("time"), "event_type")
     out = queries.window_counts(rows, "time", "event_type", "1 day", "1 hour")
     return out.select(F.unix_millis("start").alias("start_ms"), "event_type", "n")
+
+
+from . import catalog_state  # noqa: E402, F401  more queries, which use the helpers above

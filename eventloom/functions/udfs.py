@@ -34,7 +34,7 @@ def task(returns: str, retries: int = 3):
 
 def mock_model(name: str, version: str) -> Callable[[str], Column]:
     """The deterministic stand-in of a model: mock:<model>:<version>:<prompt>."""
-    return lambda prompt: F.concat_ws(":", F.lit("mock"), F.lit(name), F.lit(version), F.col(prompt))
+    return lambda prompt: F.concat_ws(":", F.lit("mock"), F.lit(name), F.lit(version), F.coalesce(F.col(prompt), F.lit("")))
 
 
 class Adder:

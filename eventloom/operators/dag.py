@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventloom.sources.tables import cut
@@ -13,13 +13,13 @@ def edges(steps: DataFrame) -> DataFrame:
     return steps.select("workflow_id", "step_id", F.explode("depends_on").alias("depends_on"))
 
 
-def levels(steps: DataFrame, most: int = 1000) -> DataFrame:
+def levels(steps: DataFrame) -> DataFrame:
     """depth of each step: 0 without known dependencies, else one more than its deepest; steps on or behind a cycle have null."""
     known = steps.select("workflow_id", F.col("step_id").alias("depends_on"))
     links = edges(steps).join(known, ["workflow_id", "depends_on"]).distinct()
     done = steps.join(links.select("workflow_id", "step_id").distinct(), ["workflow_id", "step_id"], "left_anti").select("workflow_id", "step_id", F.lit(0).alias("depth"))
     done, links, depth = cut(done), cut(links), 0
-    while depth < most:
+    while True:
         depth += 1
         open_ = links.join(done.select("workflow_id", F.col("step_id").alias("depends_on"), F.lit(1).alias("d")), ["workflow_id", "depends_on"], "left").groupBy("workflow_id", "step_id").agg(F.count("*").alias("n"), F.count("d").alias("k"))
         new = open_.where("n = k").join(done, ["workflow_id", "step_id"], "left_anti").select("workflow_id", "step_id", F.lit(depth).alias("depth"))
@@ -46,3 +46,26 @@ def ready(steps: DataFrame, states: DataFrame) -> DataFrame:
     won = states.where("status = 'SUCCEEDED'").select("workflow_id", F.col("step_id").alias("depends_on"))
     blocked = edges(steps).join(won, ["workflow_id", "depends_on"], "left_anti").select("workflow_id", "step_id").distinct()
     return states.where("status = 'SCHEDULED'").select("workflow_id", "step_id").join(blocked, ["workflow_id", "step_id"], "left_anti")
+
+
+def normalised(steps: DataFrame, attempts: int = 3, timeout_ms: int = 30_000) -> DataFrame:
+    """Steps in an order in which each follows what it depends on, with defaults where they have none."""
+    place = F.row_number().over(Window.partitionBy("workflow_id").orderBy("depth", "step_id"))
+    have = set(steps.columns)
+    value = lambda c, d: F.coalesce(F.nullif(F.col(c), F.lit(0)), F.lit(d)) if c in have else F.lit(d)
+    extra = steps.select("workflow_id", "step_id", value("max_attempts", attempts).alias("max_attempts"), value("timeout_ms", timeout_ms).alias("timeout_ms"))
+    return levels(steps).join(extra, ["workflow_id", "step_id"]).select("workflow_id", "step_id", place.alias("position"), "max_attempts", "timeout_ms")
+
+
+def layout(steps: DataFrame) -> DataFrame:
+    """Each edge between known steps with the depths of its ends."""
+    depth = levels(steps)
+    to = edges(steps).join(depth.withColumnRenamed("depth", "to_depth"), ["workflow_id", "step_id"])
+    return to.join(depth.select("workflow_id", F.col("step_id").alias("depends_on"), F.col("depth").alias("from_depth")), ["workflow_id", "depends_on"])
+
+
+def unlocked(steps: DataFrame, states: DataFrame, done) -> DataFrame:
+    """Steps that the success of the steps where `done` holds made ready, once each."""
+    just = states.where(done).select("workflow_id", F.col("step_id").alias("depends_on"))
+    waiting = edges(steps).join(just, ["workflow_id", "depends_on"], "left_semi").select("workflow_id", "step_id").distinct()
+    return ready(steps, states).join(waiting, ["workflow_id", "step_id"], "left_semi")

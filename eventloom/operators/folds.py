@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: A task's state: status, current and fenced epoch, worker, result, error; null before its submission.
@@ -82,34 +82,38 @@ def retryable(steps: DataFrame, max_attempts: int) -> DataFrame:
 
 
 def actors(events: DataFrame, use_snapshot: bool = False) -> DataFrame:
-    """Actor state by ordered aggregates: owner and epoch of the last grant, submitted and applied counters, last applied state.
+    """Actor state by ordered aggregates: owner and epoch as last granted, or as a command or snapshot that names them says; counters; last applied state.
 
-    With a snapshot, only commands counted after the last snapshot are replayed, from its state.
+    With a snapshot, only commands counted after the last snapshot are replayed, from its state. A command's own number counts before its count.
     """
-    snap = F.max(F.when(F.col("event_type") == "ActorSnapshotCreated", F.col("snapshot_count")))
-    rows = events.join(events.groupBy("actor_id").agg(F.coalesce(snap, F.lit(0)).alias("snap")), "actor_id")
-    command = F.col("event_type").isin("ActorCommandApplied", "ActorCommandFailed")
+    by, kind = F.col("seq"), F.col("event_type")
+    snap = F.max_by("snapshot_count", F.when(kind == "ActorSnapshotCreated", by)).over(Window.partitionBy("actor_id"))
+    rows = events.withColumn("snap", F.coalesce(snap, F.lit(0)) if use_snapshot else F.lit(0))
+    command = kind.isin("ActorCommandApplied", "ActorCommandFailed")
     replayed = command & (F.col("command_count") > F.col("snap")) if use_snapshot else command
-    owner = F.col("event_type") == "ActorOwnershipGranted"
-    state = (F.col("event_type") == "ActorCommandApplied") & (replayed if use_snapshot else F.lit(True))
-    state = state | (F.col("event_type") == "ActorSnapshotCreated") if use_snapshot else state
+    granted, taken = kind == "ActorOwnershipGranted", kind == "ActorSnapshotCreated"
+    number = F.when(F.col("command_seq") > 0, F.col("command_seq")).otherwise(F.col("command_count"))
+    named = granted | ((replayed | taken) & (F.coalesce("worker_id", F.lit("")) != ""))
+    dated = granted | ((replayed | taken) & (F.coalesce("epoch", F.lit(0)) != 0))
+    state = (kind == "ActorCommandApplied") & replayed
     return rows.groupBy("actor_id").agg(
-        F.max_by("worker_id", F.when(owner, F.col("seq"))).alias("owner"), F.coalesce(F.max(F.when(owner, F.col("epoch"))), F.lit(0)).alias("epoch"),
-        F.coalesce(F.max(F.when(F.col("event_type").isin("ActorCommandSubmitted", "ActorCommandApplied", "ActorCommandFailed"), F.col("command_seq"))), F.lit(0)).alias("submitted"),
-        F.coalesce(F.max(F.when(command, F.col("command_count"))), F.lit(0)).alias("applied"), F.max_by("state", F.when(state, F.col("seq"))).alias("state"), F.count_if(replayed).alias("replayed_commands"),
+        F.max_by("worker_id", F.when(named, by)).alias("owner"), F.coalesce(F.max_by("epoch", F.when(dated, by)), F.lit(0)).alias("epoch"),
+        F.coalesce(F.greatest(F.max(F.when(kind == "ActorCommandSubmitted", F.col("command_seq"))), F.max(F.when(replayed, number)), F.max("snap")), F.lit(0)).cast("bigint").alias("submitted"),
+        F.coalesce(F.max_by(number, F.when(replayed, by)), F.max("snap"), F.lit(0)).cast("bigint").alias("applied"),
+        F.max_by("state", F.when(state | taken if use_snapshot else state, by)).alias("state"), F.count_if(replayed).alias("replayed_commands"),
     )
 
 
 def ewma(values: Column) -> Column:
-    """Integer moving average of an ordered array: the first sample, then (7 * before + 3 * sample) div 10."""
-    return F.aggregate(values, F.lit(None).cast("bigint"), lambda a, x: F.coalesce(F.floor((a * 7 + x * 3) / 10), x))
+    """Integer moving average of an ordered array: the first sample, then (7 * before + 3 * sample) div 10, which truncates."""
+    return F.aggregate(values, F.lit(None).cast("bigint"), lambda a, x: F.coalesce(F.call_function("div", a * 7 + x * 3, F.lit(10)), x))
 
 
 def model_stats(events: DataFrame, order: tuple[str, ...] = ("timestamp_ms", "stream_id", "seq")) -> DataFrame:
     """Statistics by model, version and worker: counts and moving averages in the given order; version '' is v1."""
     sound = events.where("model <> '' and worker_id <> '' and total_ms > 0").withColumn("version", F.coalesce(F.nullif("version", F.lit("")), F.lit("v1")))
-    rows = sound.groupBy("model", "version", "worker_id").agg(F.array_sort(F.collect_list(F.struct(*order, "total_ms", "load_ms"))).alias("e"), F.count("*").alias("requests"), F.count_if("cache_hit").alias("hits"), F.max("timestamp_ms").alias("updated_ms"))
-    return rows.select("model", "version", "worker_id", "requests", "hits", ewma(F.col("e.total_ms")).alias("ewma_total_ms"), ewma(F.col("e.load_ms")).alias("ewma_load_ms"), "updated_ms")
+    rows = sound.groupBy("model", "version", "worker_id").agg(F.array_sort(F.collect_list(F.struct(*order, "total_ms", "load_ms", "fetch_ms", "evictions"))).alias("e"), F.count("*").alias("requests"), F.count_if("cache_hit").alias("hits"), F.max("timestamp_ms").alias("updated_ms"))
+    return rows.select("model", "version", "worker_id", "requests", "hits", ewma(F.col("e.total_ms")).alias("ewma_total_ms"), ewma(F.col("e.load_ms")).alias("ewma_load_ms"), ewma(F.col("e.fetch_ms")).alias("ewma_fetch_ms"), F.element_at("e.evictions", -1).alias("evictions"), "updated_ms")
 
 
 def summary(log: DataFrame) -> DataFrame:

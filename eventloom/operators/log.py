@@ -33,7 +33,7 @@ def dedup_first(log: DataFrame) -> DataFrame:
 
 def scan(log: DataFrame, stream: str, from_seq: int = 0, limit: int | None = 100, trim_before: int = 0) -> DataFrame:
     rows = log.where((F.col("stream_id") == stream) & (F.col("seq") >= max(from_seq, trim_before, 1))).orderBy("seq")
-    return rows.limit(limit) if limit else rows
+    return rows if limit is None else rows.limit(limit or 100)
 
 
 def live(log: DataFrame, retention: DataFrame) -> DataFrame:
@@ -78,7 +78,7 @@ def compaction_plan(stats: DataFrame, active_segment: int, threshold: float = 0.
 
 def compact(log: DataFrame, retention: DataFrame, plan: DataFrame) -> DataFrame:
     """The log after the plan: deleted segments go, copied ones keep live records; order and seq stay."""
-    rows = log.join(F.broadcast(plan.select("segment_id", "action").where("action in ('delete', 'copy')")), "segment_id", "left").join(retention, "stream_id", "left")
+    rows = log.join(plan.select("segment_id", "action").where("action in ('delete', 'copy')"), "segment_id", "left").join(retention, "stream_id", "left")
     gone = F.col("action").isNotNull() & (F.col("seq") < F.coalesce("trim_before", F.lit(0)))
     return rows.where(~gone).drop("action", "trim_before")
 
@@ -115,3 +115,19 @@ def merged(batches: list[DataFrame], n: int) -> DataFrame:
         rows = b if rows is None else rows.unionByName(b)
     first = F.row_number().over(Window.partitionBy("stream_id", "seq").orderBy("_batch"))
     return tail(rows.withColumn("_k", first).where("_k = 1").drop("_k", "_batch"), n)
+
+
+def keyset(log: DataFrame, retained: DataFrame, from_seq: int, limit: int = 100) -> DataFrame:
+    """For every stream, the page that starts at from_seq: its records, the next page's start, and whether there is more.
+
+    A page before a trimmed prefix that holds nothing continues at the first record that is left.
+    """
+    if not 1 <= limit <= 1000:
+        raise ValueError("limit is 1 to 1000")
+    stats = stream_stats(log, retained).select("stream_id", "first_seq", F.col("next_seq").alias("end"))
+    n = F.row_number().over(Window.partitionBy("stream_id").orderBy("seq"))
+    page = live(log, retained).where(F.col("seq") >= from_seq).withColumn("n", n).where(F.col("n") <= limit)
+    rows = stats.join(page.groupBy("stream_id").agg(F.count("*").alias("records"), F.max("seq").alias("last")), "stream_id", "left")
+    start = F.coalesce(F.col("last") + 1, F.lit(from_seq).cast("bigint"))
+    after = F.when(F.col("last").isNull() & (start < F.col("first_seq")) & (start < F.col("end")), F.col("first_seq")).otherwise(start)
+    return rows.select("stream_id", F.coalesce("records", F.lit(0)).alias("records"), after.alias("next_seq"), (after < F.col("end")).alias("has_more"))

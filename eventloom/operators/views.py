@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 def search(rows: DataFrame, fields: list[str], q: str | None = None, **equal: str | None) -> DataFrame:
     """Rows whose columns equal the given values and whose fields, joined by spaces, hold q whatever its case."""
     for c, v in equal.items():
+        v = v.strip().upper() if v and c == "status" else v
         if v:
             rows = rows.where(F.col(c) == v)
     return rows.where(F.lower(F.concat_ws(" ", *fields)).contains(q.lower())) if q else rows

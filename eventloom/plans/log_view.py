@@ -27,8 +27,8 @@ def log(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = read(spark, sf_dir, "events")
     stream = F.concat(F.lit("user:"), F.col("user_id").cast("string"))
     key = F.concat_ws(":", "event_type", F.get_json_object("props", "$.k"))
-    seq = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).cast("long")
-    out = e.select(stream.alias("stream_id"), seq.alias("seq"), "event_type", key.alias("idempotency_key"), F.col("props").alias("payload"), millis("ts").alias("timestamp_ms"), "event_id", F.expr("event_id div 100").alias("segment_id"), "value")
+    seq = F.row_number().over(Window.partitionBy("stream_id").orderBy("ts", "event_id")).cast("long")  # by the key of all that follows: one exchange
+    out = e.withColumn("stream_id", stream).select("stream_id", seq.alias("seq"), "event_type", key.alias("idempotency_key"), F.col("props").alias("payload"), millis("ts").alias("timestamp_ms"), "event_id", F.expr("event_id div 100").alias("segment_id"), "value")
     return out.withColumn("length", record_length().cast("long"))
 
 

@@ -12,4 +12,4 @@ TASK_EVENT_TYPES = ("TaskSubmitted", "TaskStarted", "TaskRedelivered", "TaskComp
 WORKFLOW_EVENT_TYPES = ("WorkflowStarted", "StepScheduled", "StepStarted", "StepSucceeded", "StepFailed", "WorkflowCompleted", "WorkflowFailed")
 ACTOR_EVENT_TYPES = ("ActorCreated", "ActorOwnershipGranted", "ActorCommandSubmitted", "ActorCommandApplied", "ActorCommandFailed", "ActorSnapshotCreated")
 TERMINAL = ("SUCCEEDED", "FAILED")
-KINDS = {"task": "task", "wf": "workflow", "actor": "actor", "llm": "llm", "system": "system"}
+KINDS = {"task": "task", "wf": "workflow", "actor": "actor", "llm": "llm"}

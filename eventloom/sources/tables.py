@@ -59,7 +59,9 @@ def environment(spark: SparkSession, path: str) -> DataFrame:
 
 
 def benchmarks(spark: SparkSession, path: str) -> DataFrame:
-    """Benchmark text lines: name, ns_per_op, bytes_per_op, allocs_per_op."""
+    """Benchmark text lines: name, ns_per_op, bytes_per_op, allocs_per_op (0 where a line has none); a name that repeats keeps its last line."""
     take = lambda p: F.nullif(F.regexp_extract("value", p, 1), F.lit(""))
     rows = spark.read.text(path).where(r"value rlike '^Benchmark\\S+\\s+\\d+\\s+[0-9.]+ ns/op'")
-    return rows.select(F.regexp_extract("value", r"^(Benchmark\S+?)(?:-\d+)?\s", 1).alias("name"), take(r"([0-9.]+) ns/op").cast("double").alias("ns_per_op"), take(r"(\d+) B/op").cast("long").alias("bytes_per_op"), take(r"(\d+) allocs/op").cast("long").alias("allocs_per_op"))
+    count = lambda p: F.coalesce(take(p).cast("long"), F.lit(0))
+    lines = rows.select(F.regexp_extract("value", r"^(Benchmark\S+)\s", 1).alias("name"), F.monotonically_increasing_id().alias("no"), take(r"([0-9.]+) ns/op").cast("double").alias("ns_per_op"), count(r"(\d+) B/op").alias("bytes_per_op"), count(r"(\d+) allocs/op").alias("allocs_per_op"))
+    return lines.groupBy("name").agg(F.max_by(F.struct("ns_per_op", "bytes_per_op", "allocs_per_op"), "no").alias("r")).select("name", "r.*")

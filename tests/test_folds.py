@@ -70,6 +70,15 @@ def test_trim_and_compaction(spark):
 def test_ewma_truncates(spark):
     df = spark.createDataFrame([([10, 20, 30, 40],), ([42],), ([],)], "v array<bigint>")
     assert [r[0] for r in df.select(folds.ewma(log.F.col("v"))).collect()] == [24, 42, None]
+    df = spark.createDataFrame([([-10, -5],), ([2**53 + 1, 2**53 + 1],)], "v array<bigint>")
+    assert [r[0] for r in df.select(folds.ewma(log.F.col("v"))).collect()] == [-8, 2**53 + 1]
+
+
+def test_actor_owner_is_the_last_that_a_record_names(spark):
+    rows = [("a", 1, "ActorOwnershipGranted", "w1", 1, 0, 0, None, 0), ("a", 2, "ActorCommandApplied", "w2", 3, 0, 1, "x", 0), ("a", 3, "ActorCommandFailed", "", 0, 2, 2, None, 0), ("a", 4, "ActorSnapshotCreated", "", 0, 0, 0, "snap", 1), ("a", 5, "ActorCommandSubmitted", "w9", 9, 5, 0, None, 0)]
+    events = spark.createDataFrame(rows, schemas.ACTOR_EVENTS)
+    assert [tuple(r) for r in folds.actors(events).collect()] == [("a", "w2", 3, 5, 2, "x", 2)]
+    assert [tuple(r) for r in folds.actors(events, use_snapshot=True).collect()] == [("a", "w1", 1, 5, 2, "snap", 1)]
 
 
 def test_graph_errors(spark):
@@ -99,4 +108,4 @@ def test_report_sources(spark, tmp_path):
     got = [(r.name, r.exit_code, r.log) for r in tables.statuses(spark, str(tmp_path / "s.jsonl")).collect()]
     assert got == [("a", 0, "l"), ("invalid", 1, "not json")]
     assert {(r.key, r.value) for r in tables.environment(spark, str(tmp_path / "e.env")).collect()} == {("A", "1"), ("B", "x=y")}
-    assert [tuple(r) for r in tables.benchmarks(spark, str(tmp_path / "b.txt")).collect()] == [("BenchmarkAssign/depth", 554.3, 12, 3)]
+    assert [tuple(r) for r in tables.benchmarks(spark, str(tmp_path / "b.txt")).collect()] == [("BenchmarkAssign/depth-8", 554.3, 12, 3)]
