@@ -31,6 +31,8 @@ from .labelled import texts_of
 
 GRAM, PERCENT = 3, 90
 BUCKET_BYTES = 8_000_000
+#: Text bytes that a Python worker holds as sets at once.
+HELD_BYTES = 4_000_000
 #: Shingles in so many documents of a slice are reported; those in so many of all may come last in the order, the commonest first among
 #: HEAVY. This orders the index only; answers don't depend on it.
 LOCAL, COMMON, HEAVY = 4, 40, 100_000
@@ -90,7 +92,7 @@ def needed(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
 
 def common(gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, most=HELD_BYTES):
             found, counts = np.unique(Sets(batch, gram).hashes, return_counts=True)
             many = counts >= LOCAL
             yield pa.RecordBatch.from_arrays([pa.array(found[many].view(np.int64)), pa.array(counts[many].astype(np.int64))], names=["h", "c"])
@@ -100,7 +102,7 @@ def common(gram: int):
 
 def indexed(gram: int, percent: int, buckets: int, heavy: np.ndarray, rank: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, most=HELD_BYTES):
             s = Sets(batch, gram)
             f1, f2 = s.sums(0x51ED270B7F4A7C15), s.sums(0x2545F4914F6CDD1D)
             some = len(s.ids)
@@ -316,7 +318,7 @@ def compared(gram: int, percent: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cell, hubs = None, []
-        for batch in slices(batches):
+        for batch in slices(batches, most=HELD_BYTES):
             s = Sets(pa.RecordBatch.from_arrays([pa.array(np.arange(batch.num_rows)), batch.column("text")], names=["doc_id", "text"]), gram)
             keys = list(zip(*(batch.column(c).to_pylist() for c in ("hub", "salt")), strict=True))
             ids, is_member = batch.column("doc_id").to_pylist(), batch.column("member").to_pylist()
@@ -439,7 +441,7 @@ def jaccard_join(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT) -> D
 
 def sizes(gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, most=HELD_BYTES):
             n = Sets(batch, gram).n
             none = pa.nulls(len(n), pa.int64())
             yield pa.RecordBatch.from_arrays([none, pa.array(n.astype(np.int64)), none], names=["doc_id", "n_shingles", "component_id"])
