@@ -28,7 +28,7 @@ GROW = 8
 #: Text bytes that a task of leaves gets, about, and tasks that the copies of one long text are dealt over at most.
 TASK_BYTES, SALTS = 8_000_000, 64
 #: Leaves that a worker encodes at once, runs likewise, and text bytes whose runs it holds.
-HELD, RUNS, HELD_BYTES = 32, 4_000, 3_000_000
+HELD, RUNS, HELD_BYTES = 32, 4_000, 5_000_000
 VOCABULARY = "word_bpe_49k.json"
 OUT = "doc_id long, ids array<int>, decoded string"
 LEAVES = "key binary, salt int, no int, doc_id long, text string, packed binary"
@@ -149,7 +149,8 @@ def encoder(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = tokenizer(path)
         for batch in slices(batches, most=HELD_BYTES):
-            flat, offsets = words_of(batch.column("text"))
+            # a sign after a Latin letter (which stays a letter in any case and normal form) is a pre-token of its own; apart from it, the word has been seen before
+            flat, offsets = words_of(pc.replace_substring_regex(batch.column("text"), r"([A-Za-zÀ-ÖØ-öø-ÿ])([.,;:!?])(\s|$)", r"\1 \2\3"))
             coded = flat.dictionary_encode()
             codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
             lists = run_ids(tok, coded.dictionary.to_pylist())

@@ -171,6 +171,16 @@ def test_bpe_is_the_library(docs, none):
     assert bpe.bpe(none, bpe.vocabulary_path()).count() == 0
 
 
+def test_bpe_signs_after_words():
+    import pyarrow as pa
+
+    tok = bpe.tokenizer(bpe.vocabulary_path())
+    texts = ["ab. cd.\n'\u03a3. x? y!z. don't. it's, A.B. e\u0301\u0301. \xe9. <|endoftext|>. 3. a.", "word .", "a.\x1cb. c", "\u2163. \xbd. \u0130. \u0391\u03a3. \ufb1d. \xdf, q", "a. b. c.", ". a", "a.\u00a0b"]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "text": texts})
+    for got in bpe.encoder(bpe.vocabulary_path())(iter([batch])):
+        assert got.column("ids").to_pylist() == [tok.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_bpe_long_copies(spark):
     """Copies of long texts, with and without doc_id, come out row by row; so does a long text without white space."""
     rng = random.Random(7)
