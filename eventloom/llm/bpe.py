@@ -253,9 +253,16 @@ def joined(path: str):
     return run
 
 
-def bpe(docs: DataFrame, path: str, leaf: int = LEAF) -> DataFrame:
+def after(run, then):
+    """then's batches for run's, in the same worker."""
+    return lambda batches: then(run(batches))
+
+
+def bpe(docs: DataFrame, path: str, leaf: int = LEAF, then=None, columns: str = OUT) -> DataFrame:
     """Encodes each whole text and decodes the tokens: doc_id, ids, decoded, a row for each row of docs.
 
+    then: a function from batches of these to batches of `columns`, which runs where the texts are encoded, so that tokens don't travel.
+
     A null text counts as empty: no ids, and decoded ''. Rows that repeat or have no doc_id come out as they are; other
     columns are ignored. A text of more than `leaf` characters is encoded as a tree, whose leaves several tasks encode. path: a tokenizer
     file whose pre-tokens don't cross white space and that has no decoder, so that tokens are joined by a space.
@@ -265,7 +272,8 @@ def bpe(docs: DataFrame, path: str, leaf: int = LEAF) -> DataFrame:
     tasks = max(32, text_bytes(docs) // TASK_BYTES)
     dealt = rows.where(is_long).mapInArrow(cut(leaf), LEAVES).repartition(tasks, "key", "salt", "no").sortWithinPartitions("key", "salt", "no")
     whole = dealt.mapInArrow(leaves(path), LEAVES).repartition(tasks, "key", "salt").sortWithinPartitions("key", "salt", "no")
-    return rows.where(~is_long).mapInArrow(encoder(path), OUT).unionByName(whole.mapInArrow(joined(path), OUT))
+    short, long = (after(run(path), then) if then else run(path) for run in (encoder, joined))
+    return rows.where(~is_long).mapInArrow(short, columns).unionByName(whole.mapInArrow(long, columns))
 
 
 def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -287,5 +295,4 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
 
 
 def op6_bpe(spark, sf_dir: str) -> DataFrame:
-    out = bpe(spark.read.parquet(f"{sf_dir}/documents.parquet"), vocabulary_path())
-    return out.mapInArrow(digests, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return bpe(spark.read.parquet(f"{sf_dir}/documents.parquet"), vocabulary_path(), then=digests, columns="doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
