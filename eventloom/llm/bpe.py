@@ -11,7 +11,9 @@ A text of a leaf or less is encoded directly; pre-tokens never cross white space
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +29,8 @@ LEAF = 32_768
 GROW = 8
 #: Text bytes that a task of leaves gets, about, and tasks that the copies of one long text are dealt over at most.
 TASK_BYTES, SALTS = 8_000_000, 64
-#: Leaves that a worker encodes at once, runs likewise, and text bytes whose runs it holds.
-HELD, RUNS, HELD_BYTES = 32, 4_000, 5_000_000
+#: Leaves that a worker sends at once, runs that it encodes at once, characters of a line of them, runs that it keeps, and text bytes that it holds.
+HELD, RUNS, LINE, KNOWN, HELD_BYTES = 32, 8_000, 800, 400_000, 2_000_000
 VOCABULARY = "word_bpe_49k.json"
 OUT = "doc_id long, ids array<int>, decoded string"
 LEAVES = "key binary, salt int, no int, doc_id long, text string, packed binary"
@@ -66,11 +68,61 @@ def piece(text: str, found) -> Piece:
     return Piece(text, np.array(found.ids, np.int32), spans[:, 0], spans[:, 1])
 
 
-def encoded(tok, texts: list[str]) -> list[Piece]:
-    """Equal texts are encoded once."""
-    unique = list(dict.fromkeys(texts))
-    found = {t: piece(t, e) for t, e in zip(unique, tok.encode_batch(unique, add_special_tokens=False), strict=True)}
-    return [found[t] for t in texts]
+class Runs:
+    """Runs between white space, each encoded once: counts of tokens, where they start in ids, and their places from the run's start.
+
+    At most KNOWN runs are kept, or those of one call; beyond that all are forgotten, and encoded again when they come again.
+    """
+
+    def __init__(self, tok, decode: bool = False):
+        self.tok, self.decode = tok, decode
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[str, int] = {}
+        none = np.zeros(0, np.int64)
+        self.counts, self.first, self.ids, self.starts, self.ends = none, none, none.astype(np.int32), none.astype(np.int32), none.astype(np.int32)
+        self.said = pa.array([], pa.string())
+
+    def numbers(self, runs: list[str]) -> np.ndarray:
+        """The number of each run here."""
+        new = [r for r in dict.fromkeys(runs) if r not in self.known]
+        if len(self.known) + len(new) > KNOWN and self.known:
+            self.forget()
+            new = list(dict.fromkeys(runs))
+        if new:
+            found = [self.learned(new[k : k + RUNS]) for k in range(0, len(new), RUNS)]
+            self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
+            self.counts, self.ids, self.starts, self.ends = (np.concatenate([old, *more]) for old, more in zip((self.counts, self.ids, self.starts, self.ends), zip(*(f[:4] for f in found), strict=True), strict=True))
+            self.first = np.cumsum(self.counts) - self.counts
+            self.said = pa.concat_arrays([self.said, *(f[4] for f in found)])
+        return np.fromiter(map(self.known.__getitem__, runs), np.int64, len(runs))
+
+    def learned(self, runs: list[str]) -> tuple:
+        """Encodes runs, many to a line, and deals a line's tokens by where they start: counts, ids, starts, ends, decoded."""
+        places = np.cumsum([0, *(len(r) + 1 for r in runs)])
+        cuts = [0, *(np.flatnonzero(np.diff(places[:-1] // LINE)) + 1).tolist(), len(runs)]
+        found = self.tok.encode_batch([" ".join(runs[x:y]) for x, y in zip(cuts[:-1], cuts[1:], strict=True)], add_special_tokens=False)
+        ids = list(chain.from_iterable(e.ids for e in found))
+        spans = np.fromiter(chain.from_iterable(chain.from_iterable(e.offsets for e in found)), np.int64, 2 * len(ids)).reshape(-1, 2)
+        spans += np.repeat(places[cuts[:-1]], [len(e) for e in found])[:, None]
+        owner = np.searchsorted(places, spans[:, 0], side="right") - 1
+        spans -= places[owner][:, None]
+        counts = np.bincount(owner, minlength=len(runs))
+        ends = np.cumsum(counts)
+        said = [self.tok.decode(ids[x:y], skip_special_tokens=False) if x < y else "" for x, y in zip((ends - counts).tolist(), ends.tolist(), strict=True)] if self.decode else []
+        return counts, np.array(ids, np.int32), spans[:, 0].astype(np.int32), spans[:, 1].astype(np.int32), pa.array(said, pa.string())
+
+
+def encoded(runs: Runs, text: str) -> Piece:
+    """The direct encoding of a text, by its runs."""
+    signs = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    solid = ~((signs == 32) | ((signs >= 9) & (signs <= 13)))
+    first = np.flatnonzero(solid & ~np.concatenate([[False], solid[:-1]]))
+    codes = runs.numbers(re.findall(r"[^\x20\x09-\x0D]+", text))
+    at, counts = runs.first[codes], runs.counts[codes]
+    shift = np.repeat(first, counts)
+    return Piece(text, ragged(runs.ids, at, counts), ragged(runs.starts, at, counts) + shift, ragged(runs.ends, at, counts) + shift)
 
 
 def concatenated(tok, left: Piece, right: Piece, grow: int = GROW) -> Piece:
@@ -128,7 +180,8 @@ def grown(tok, level: list[Piece]) -> Piece:
 
 def tree(tok, text: str, leaf: int = LEAF) -> Piece:
     """The encoding of one text, from its leaves upwards, in one place."""
-    return grown(tok, encoded(tok, halves(text, leaf)))
+    runs = Runs(tok)
+    return grown(tok, [encoded(runs, t) for t in halves(text, leaf)])
 
 
 def ragged(values: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -138,30 +191,21 @@ def ragged(values: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.nda
     return values[np.arange(n) + np.repeat(starts - (total - counts), counts)]
 
 
-def run_ids(tok, runs: list[str]) -> list[list[int]]:
-    """Tokens of each run."""
-    return [e.ids for k in range(0, len(runs), RUNS) for e in tok.encode_batch_fast(runs[k : k + RUNS], add_special_tokens=False)]
-
-
 def encoder(path: str):
     """Whole short texts, by their runs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = tokenizer(path)
+        runs = Runs(tokenizer(path), decode=True)
         for batch in slices(batches, most=HELD_BYTES):
             # a sign after a Latin letter (which stays a letter in any case and normal form) is a pre-token of its own; apart from it, the word has been seen before
             flat, offsets = words_of(pc.replace_substring_regex(batch.column("text"), r"([A-Za-zÀ-ÖØ-öø-ÿ])([.,;:!?])(\s|$)", r"\1 \2\3"))
             coded = flat.dictionary_encode()
-            codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-            lists = run_ids(tok, coded.dictionary.to_pylist())
-            counts = np.fromiter(map(len, lists), np.int64, len(lists))
-            values = np.fromiter((x for ids in lists for x in ids), np.int32, int(counts.sum()))
-            starts = np.cumsum(counts) - counts
-            ids = ragged(values, starts[codes], counts[codes])
-            ends = np.concatenate([[0], np.cumsum(counts[codes])])[offsets]
-            spoken = pa.array([tok.decode(x, skip_special_tokens=False) if x else "" for x in lists], pa.string())
-            said = spoken.take(pa.array(codes))
-            some = counts[codes] > 0  # a run without tokens leaves no gap
+            codes = runs.numbers(coded.dictionary.to_pylist())[coded.indices.to_numpy(zero_copy_only=False)]
+            counts = runs.counts[codes]
+            ids = ragged(runs.ids, runs.first[codes], counts)
+            ends = np.concatenate([[0], np.cumsum(counts)])[offsets]
+            said = runs.said.take(pa.array(codes))
+            some = counts > 0  # a run without tokens leaves no gap
             at = np.concatenate([[0], np.cumsum(some)])[offsets]
             decoded = pc.binary_join(pa.ListArray.from_arrays(pa.array(at, pa.int32()), said.filter(pa.array(some))), " ")
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32())), decoded.cast(pa.string())], names=["doc_id", "ids", "decoded"])
@@ -204,12 +248,12 @@ def leaves(path: str):
     """Each leaf with its tokens and their places."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = tokenizer(path)
+        runs = Runs(tokenizer(path))
         held: list[tuple] = []
 
         def flushed() -> pa.RecordBatch:
-            told = encoded(tok, [r[4] for r in held if r[2] >= 0])
-            packs = iter([dump(p.ids, deltas(p.starts.astype(np.int32)), (p.ends - p.starts).astype(np.int32)) for p in told])
+            told = (encoded(runs, r[4]) for r in held if r[2] >= 0)
+            packs = (dump(p.ids, deltas(p.starts.astype(np.int32)), (p.ends - p.starts).astype(np.int32)) for p in told)
             return leaf_rows([(*r[:5], next(packs) if r[2] >= 0 else None) for r in held])
 
         for row in distinct_leaves(batches):

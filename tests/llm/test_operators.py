@@ -181,6 +181,17 @@ def test_bpe_signs_after_words():
         assert got.column("ids").to_pylist() == [tok.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_bpe_runs_have_the_librarys_places(monkeypatch):
+    tok, rng = bpe.tokenizer(bpe.vocabulary_path()), random.Random(9)
+    monkeypatch.setattr(bpe, "RUNS", 7)
+    monkeypatch.setattr(bpe, "KNOWN", 20)
+    runs = bpe.Runs(tok)
+    signs = ["a", "Zz", "word", " ", "  ", "\t", "\x85", "\u00a0", "\u3000", "é", "e\u0301", "\u0301", "İ", "ß", "한", "각", "\u0958", "🙂", "don't", "12", "...", "$", "\x00", "\x1c", "x" * 900]
+    for text in ["", " ", "a", *("".join(rng.choices(signs, k=rng.randint(1, 60))) for _ in range(300))]:
+        got, want = bpe.encoded(runs, text), bpe.piece(text, tok.encode(text, add_special_tokens=False))
+        assert got.ids.tolist() == want.ids.tolist() and got.starts.tolist() == want.starts.tolist() and got.ends.tolist() == want.ends.tolist(), text
+
+
 def test_bpe_long_copies(spark):
     """Copies of long texts, with and without doc_id, come out row by row; so does a long text without white space."""
     rng = random.Random(7)
