@@ -134,10 +134,10 @@ def log_recover_truncate(spark, d):
     return log.recovered(log_of(spark, d), (F.col("event_type") == "error") & (F.col("value") > 90)).select("segment_id", "event_id")
 
 
-@query(f"{L} SELECT stream_id, seq, CASE WHEN seq <= 20 THEN 'a' ELSE 'b' END AS batch FROM log WHERE seq <= 30 QUALIFY row_number() OVER (PARTITION BY stream_id ORDER BY seq DESC) <= 25")
+@query(f"{L} SELECT stream_id, seq, CASE WHEN seq <= 20 THEN 'a' ELSE 'b' END AS batch FROM log QUALIFY row_number() OVER (PARTITION BY stream_id ORDER BY seq DESC) <= 25")
 def log_merge_batches(spark, d):
     rows = log_of(spark, d).select("stream_id", "seq")
-    return log.merged([rows.where("seq <= 20").withColumn("batch", F.lit("a")), rows.where("seq between 10 and 30").withColumn("batch", F.lit("b"))], 25)
+    return log.merged([rows.where("seq <= 20").withColumn("batch", F.lit("a")), rows.where("seq >= 10").withColumn("batch", F.lit("b"))], 25)
 
 
 # Views: lists, pages, indicators, merges.
@@ -207,18 +207,44 @@ def mailbox_attempts(spark, d):
 
 # Folds.
 
-EVENTS_SQL = """e AS (SELECT stream_id AS task_id, seq, event_type, CASE event_type WHEN 'signup' THEN 'TaskSubmitted' WHEN 'view' THEN 'TaskStarted' WHEN 'click' THEN 'TaskStarted' WHEN 'error' THEN 'TaskRedelivered' ELSE 'TaskCompleted' END AS kind, event_id, payload FROM log)"""
+KIND_SQL = "CASE WHEN event_type = 'signup' THEN 'TaskSubmitted' WHEN event_type IN ('view', 'click') THEN 'TaskStarted' WHEN event_type = 'error' THEN CASE WHEN event_id % 4 = 0 THEN 'TaskFailed' ELSE 'TaskRedelivered' END ELSE 'TaskCompleted' END"
+#: States f after each event of e (task_id, seq, kind, epoch, worker_id, result, error), one event a step; `last` has the newest.
+FOLD_SQL = """n AS (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY seq) AS i FROM e),
+  f AS (SELECT DISTINCT task_id, CAST(0 AS BIGINT) AS i, CAST(NULL AS VARCHAR) AS status, CAST(0 AS BIGINT) AS cur, CAST(0 AS BIGINT) AS fence, CAST('' AS VARCHAR) AS worker_id, CAST(NULL AS VARCHAR) AS result, CAST(NULL AS VARCHAR) AS error FROM e
+    UNION ALL
+    SELECT task_id, i,
+      CASE act WHEN 'submit' THEN 'QUEUED' WHEN 'start' THEN 'RUNNING' WHEN 'back' THEN 'QUEUED' WHEN 'win' THEN 'SUCCEEDED' WHEN 'lose' THEN 'FAILED' ELSE status END,
+      CASE WHEN act = 'submit' OR (act = 'start' AND epoch > 0) THEN epoch ELSE cur END,
+      CASE WHEN act = 'submit' THEN 0 WHEN act IN ('back', 'fence') THEN greatest(fence, epoch) ELSE fence END,
+      CASE WHEN act IN ('submit', 'back') THEN '' WHEN act IN ('start', 'win', 'lose') THEN new_worker ELSE worker_id END,
+      CASE WHEN act = 'submit' THEN NULL WHEN act IN ('win', 'lose') THEN new_result ELSE result END,
+      CASE WHEN act IN ('submit', 'win') THEN NULL WHEN act = 'lose' THEN new_error ELSE error END
+    FROM (SELECT f.task_id, n.i, f.status, f.cur, f.fence, f.worker_id, f.result, f.error, n.epoch, n.worker_id AS new_worker, n.result AS new_result, n.error AS new_error,
+        CASE WHEN n.kind = 'TaskSubmitted' THEN 'submit'
+          WHEN f.status IS NULL OR f.status IN ('SUCCEEDED', 'FAILED') THEN 'none'
+          WHEN n.kind = 'TaskRedelivered' THEN CASE WHEN n.epoch = 0 OR n.epoch >= f.cur THEN 'back' ELSE 'fence' END
+          WHEN n.epoch = 0 AND (f.cur > 0 OR f.fence > 0) THEN 'none'
+          WHEN n.epoch > 0 AND n.epoch <= f.fence THEN 'none'
+          WHEN n.kind = 'TaskStarted' THEN CASE WHEN n.epoch = 0 OR n.epoch >= f.cur THEN 'start' ELSE 'none' END
+          WHEN n.epoch > 0 AND (f.status <> 'RUNNING' OR n.epoch <> f.cur) THEN 'none'
+          WHEN n.kind = 'TaskCompleted' THEN 'win' ELSE 'lose' END AS act
+      FROM f JOIN n ON n.task_id = f.task_id AND n.i = f.i + 1)),
+  last AS (SELECT * FROM f WHERE status IS NOT NULL QUALIFY row_number() OVER (PARTITION BY task_id ORDER BY i DESC) = 1)"""
+TASK_SQL = f"""e AS (SELECT stream_id AS task_id, seq, kind, CASE WHEN kind = 'TaskSubmitted' THEN 0 ELSE greatest(sum(CASE WHEN kind = 'TaskStarted' THEN 1 ELSE 0 END) OVER (PARTITION BY stream_id ORDER BY seq) - event_id % 2, 0) END AS epoch, 'w' || event_id % 3 AS worker_id, payload AS result, event_type AS error FROM (SELECT *, {KIND_SQL} AS kind FROM log))"""
+
+
+def kind_of():
+    return F.when(F.col("event_type") == "signup", "TaskSubmitted").when(F.col("event_type").isin("view", "click"), "TaskStarted").when(F.col("event_type") == "error", F.when(F.col("event_id") % 4 == 0, "TaskFailed").otherwise("TaskRedelivered")).otherwise("TaskCompleted")
 
 
 def task_events(spark, d):
-    kind = F.when(F.col("event_type") == "signup", "TaskSubmitted").when(F.col("event_type").isin("view", "click"), "TaskStarted").when(F.col("event_type") == "error", F.when(F.col("event_id") % 4 == 0, "TaskFailed").otherwise("TaskRedelivered")).otherwise("TaskCompleted")
-    rows = log_of(spark, d).withColumn("kind", kind)
+    rows = log_of(spark, d).withColumn("kind", kind_of())
     w = Window.partitionBy("stream_id").orderBy("seq")
     epoch = F.sum(F.when(F.col("kind") == "TaskStarted", 1).otherwise(0)).over(w) - F.col("event_id") % 2
     return rows.select(F.col("stream_id").alias("task_id"), "seq", F.col("kind").alias("event_type"), F.when(F.col("kind") == "TaskSubmitted", 0).otherwise(F.greatest(epoch, F.lit(0))).cast("bigint").alias("epoch"), F.concat(F.lit("w"), (F.col("event_id") % 3).cast("string")).alias("worker_id"), F.col("payload").alias("result"), F.col("event_type").alias("error"))
 
 
-@query()
+@query(f"WITH RECURSIVE {LOG_SQL}, {TASK_SQL}, {FOLD_SQL} SELECT task_id, CASE status WHEN 'RUNNING' THEN 'QUEUED' ELSE status END AS status, cur AS epoch, fence, CASE status WHEN 'RUNNING' THEN '' ELSE worker_id END AS worker_id, result, error FROM last")
 def fold_task_state(spark, d):
     return folds.tasks(task_events(spark, d))
 
@@ -239,24 +265,12 @@ def checkpoint_tail(spark, d):
     return tail.groupBy("stream_id", F.col("last_seq").isNull().alias("new_stream")).agg(F.count("*").alias("records"), F.min("seq").alias("from_seq")).select("stream_id", "records", "from_seq", "new_stream")
 
 
-@query("SELECT 'wf-' || l_orderkey AS workflow_id, l_linenumber AS step_id, CASE WHEN l_returnflag = 'R' THEN CASE WHEN l_linenumber < 3 THEN 'SCHEDULED' ELSE 'FAILED' END WHEN l_linestatus = 'F' THEN 'SUCCEEDED' ELSE 'STARTED' END AS status, l_linenumber AS attempts FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_returnflag, l_linestatus FROM lineitem QUALIFY count(*) OVER (PARTITION BY l_orderkey, l_linenumber) = 1)")
-def fold_workflow_steps(spark, d):
-    once = F.count("*").over(Window.partitionBy("l_orderkey", "l_linenumber"))
-    li = read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus").withColumn("n", once).where("n = 1")
-    li = li.withColumn("workflow_id", F.concat(F.lit("wf-"), F.col("l_orderkey").cast("string"))).withColumn("step_id", F.col("l_linenumber"))
-    last = F.when(F.col("l_returnflag") == "R", "StepFailed").when(F.col("l_linestatus") == "F", "StepSucceeded").otherwise("StepStarted")
-    none = F.lit(None).cast("string")
-    kinds = F.explode(F.array(F.struct(F.lit(1).cast("bigint").alias("seq"), F.lit("StepScheduled").alias("event_type")), F.struct(F.lit(2).cast("bigint").alias("seq"), F.lit("StepStarted").alias("event_type")), F.struct(F.lit(3).cast("bigint").alias("seq"), last.alias("event_type"))))
-    ev = li.select("workflow_id", "step_id", kinds.alias("k"), F.col("l_linenumber").alias("attempt")).select("workflow_id", "step_id", "k.seq", "k.event_type", none.alias("task_id"), "attempt", none.alias("result"), none.alias("error"), F.col("k.seq").alias("timestamp_ms"))
-    return folds.retryable(folds.workflow_steps(ev, li), 3).select("workflow_id", "step_id", "status", "attempts")
-
-
 ROWS_ORDER = ("l_shipdate", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_returnflag", "l_linestatus")
 
 
 @query(f"WITH r AS (SELECT *, row_number() OVER w AS n, count(*) OVER (PARTITION BY l_orderkey, l_linenumber) AS k FROM lineitem WINDOW w AS (PARTITION BY l_orderkey, l_linenumber ORDER BY {', '.join(ROWS_ORDER)})) SELECT 'wf-' || l_orderkey AS workflow_id, l_linenumber AS step_id, CASE WHEN l_returnflag = 'R' THEN CASE WHEN l_linenumber + k - 1 < 3 THEN 'SCHEDULED' ELSE 'FAILED' END WHEN l_linestatus = 'F' THEN 'SUCCEEDED' ELSE 'STARTED' END AS status, CAST(l_linenumber + k - 1 AS INT) AS attempts FROM r WHERE n = k")
-def fold_workflow_steps_all(spark, d):
-    """fold_workflow_steps over every step; rows that repeat a step are its attempts, in order."""
+def fold_workflow_steps(spark, d):
+    """Every step; rows that repeat a step are its attempts, in order."""
     n = F.row_number().over(Window.partitionBy("l_orderkey", "l_linenumber").orderBy(*ROWS_ORDER))
     li = read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", *ROWS_ORDER).withColumn("n", n)
     li = li.withColumn("workflow_id", F.concat(F.lit("wf-"), F.col("l_orderkey").cast("string"))).withColumn("step_id", F.col("l_linenumber"))
@@ -357,16 +371,8 @@ def wf_ready_steps(spark, d):
     return dag.ready(step_rows(spark, d), states)
 
 
-@query(f"WITH {STEPS}, u AS (SELECT DISTINCT workflow_id FROM edge ANTI JOIN steps s ON s.workflow_id = edge.workflow_id AND s.step_id = edge.depends_on), r AS (SELECT workflow_id, max(step_id) AS last FROM steps GROUP BY ALL) SELECT workflow_id, concat_ws(',', CASE WHEN last < 2 THEN 'missing result step' END, CASE WHEN workflow_id IN (SELECT workflow_id FROM u) THEN 'unknown dependency' END) AS errors FROM r WHERE workflow_id NOT IN (SELECT workflow_id FROM steps GROUP BY workflow_id HAVING count(*) < max(step_id))")
-def dag_validate(spark, d):
-    steps = step_rows(spark, d)
-    whole = steps.groupBy("workflow_id").agg(F.count("*").alias("n"), F.max("step_id").alias("m")).where("n = m").select("workflow_id")
-    return dag.validated(steps.join(whole, "workflow_id"), whole.withColumn("result_step_id", F.lit(2)))
-
-
 @query(f"WITH {STEPS}, u AS (SELECT DISTINCT workflow_id FROM edge ANTI JOIN steps s ON s.workflow_id = edge.workflow_id AND s.step_id = edge.depends_on) SELECT workflow_id, concat_ws(',', CASE WHEN NOT bool_or(step_id = 2) THEN 'missing result step' END, CASE WHEN workflow_id IN (SELECT workflow_id FROM u) THEN 'unknown dependency' END) AS errors FROM steps GROUP BY workflow_id")
-def dag_validate_all(spark, d):
-    """dag_validate over every workflow, those with unknown dependencies included."""
+def dag_validate(spark, d):
     steps = step_rows(spark, d)
     return dag.validated(steps, steps.select("workflow_id").distinct().withColumn("result_step_id", F.lit(2)))
 
@@ -374,20 +380,6 @@ def dag_validate_all(spark, d):
 # Placement and caches.
 
 
-@query("SELECT p_partkey AS model, arg_min(s_suppkey, (-(100 * (4 - s_suppkey % 4) - 10 * (s_suppkey % 4) + CASE WHEN (p_partkey + s_suppkey) % 5 = 0 THEN 1000 ELSE 0 END)) * 100000 + s_suppkey) AS worker_id FROM part JOIN supplier ON p_size % 10 = s_suppkey % 10 GROUP BY ALL")
-def placement_locality(spark, d):
-    pairs = read(spark, d, "part").select(F.col("p_partkey").alias("model"), (F.col("p_size") % 10).cast("bigint").alias("pool")).join(read(spark, d, "supplier").select(F.col("s_suppkey").alias("worker_id"), (F.col("s_suppkey") % 10).alias("pool")), "pool")
-    score = views.locality_score(F.lit(4), F.col("worker_id") % 4, (F.col("model") + F.col("worker_id")) % 5 == 0, F.lit(False))
-    return views.best(pairs.withColumn("score", score), "model", F.desc("score"), "worker_id").select("model", "worker_id")
-
-
-@query("SELECT p_partkey AS model, arg_min(s_suppkey, (25 + CASE WHEN (p_partkey + s_suppkey) % 5 = 0 THEN 0 ELSE 100 END + 50 * (s_suppkey % 4)) * 100000 + s_suppkey) AS worker_id FROM part JOIN supplier ON p_size % 10 = s_suppkey % 10 GROUP BY ALL")
-def placement_predicted(spark, d):
-    pairs = read(spark, d, "part").select(F.col("p_partkey").alias("model"), (F.col("p_size") % 10).cast("bigint").alias("pool")).join(read(spark, d, "supplier").select(F.col("s_suppkey").alias("worker_id"), (F.col("s_suppkey") % 10).alias("pool")), "pool")
-    ms = views.predicted_ms(F.lit(None).cast("bigint"), (F.col("model") + F.col("worker_id")) % 5 != 0, F.lit(None).cast("bigint"), F.lit(0), F.col("worker_id") % 4, F.lit(False))
-    return views.best(pairs.withColumn("ms", ms), "model", "ms", "worker_id").select("model", "worker_id")
-
-
 def best_workers(spark, d, score, *order):
     """For each model of part, the best of all workers by score, which depends on a worker's load and cache class only."""
     workers = read(spark, d, "supplier").groupBy((F.col("s_suppkey") % 4).alias("load"), (F.col("s_suppkey") % 5).alias("class")).agg(F.min("s_suppkey").alias("worker_id"))
@@ -397,12 +389,12 @@ def best_workers(spark, d, score, *order):
 
 
 @query("SELECT p_partkey AS model, arg_min(s_suppkey, (-(100 * (4 - s_suppkey % 4) - 10 * (s_suppkey % 4) + CASE WHEN (p_partkey + s_suppkey) % 5 = 0 THEN 1000 ELSE 0 END)) * 100000 + s_suppkey) AS worker_id FROM part CROSS JOIN supplier GROUP BY ALL")
-def placement_locality_all(spark, d):
+def placement_locality(spark, d):
     return best_workers(spark, d, lambda load, warm: views.locality_score(F.lit(4), load, warm, F.lit(False)), F.desc("score"))
 
 
 @query("SELECT p_partkey AS model, arg_min(s_suppkey, (25 + CASE WHEN (p_partkey + s_suppkey) % 5 = 0 THEN 0 ELSE 100 END + 50 * (s_suppkey % 4)) * 100000 + s_suppkey) AS worker_id FROM part CROSS JOIN supplier GROUP BY ALL")
-def placement_predicted_all(spark, d):
+def placement_predicted(spark, d):
     none = F.lit(None).cast("bigint")
     return best_workers(spark, d, lambda load, warm: views.predicted_ms(none, ~warm, none, F.lit(0), load, F.lit(False)), "score")
 
@@ -477,14 +469,17 @@ def stream_materialize(spark, d):
     return queries.upserts(queries.stream(spark, d, "events").select("user_id", "event_type", "event_id", "props"), ["user_id", "event_type"], "event_id")
 
 
-@query("SELECT user_id AS task_id, CASE WHEN count(*) FILTER (event_type = 'signup') = 0 THEN NULL ELSE 'QUEUED' END AS state FROM (SELECT * FROM events WHERE event_type IN ('signup')) GROUP BY ALL")
-def stream_task_fold(spark, d):
-    def submitted(batch):
-        none = F.lit(None).cast("string")
-        return batch.select(F.col("user_id").alias("task_id"), F.col("event_id").alias("seq"), F.lit("TaskSubmitted").alias("event_type"), F.lit(0).cast("bigint").alias("epoch"), none.alias("worker_id"), none.alias("result"), none.alias("error"))
+def task_batch(batch):
+    """A batch of events as events of tasks, with epochs that are often stale."""
+    kind = kind_of()
+    epoch = F.when(kind == "TaskSubmitted", 0).otherwise(F.col("event_id") % 7).cast("bigint")
+    return batch.select(F.concat(F.lit("user:"), F.col("user_id").cast("string")).alias("task_id"), F.col("event_id").alias("seq"), kind.alias("event_type"), epoch.alias("epoch"), F.concat(F.lit("w"), (F.col("event_id") % 3).cast("string")).alias("worker_id"), F.col("props").alias("result"), F.col("event_type").alias("error"))
 
-    rows = queries.stream(spark, d, "events").where("event_type = 'signup'").select("user_id", "event_id")
-    return queries.task_states(submitted, rows).select("task_id", F.col("state.status").alias("state"))
+
+@query(f"WITH RECURSIVE e AS (SELECT 'user:' || user_id AS task_id, event_id AS seq, {KIND_SQL} AS kind, CASE WHEN event_type = 'signup' THEN 0 ELSE event_id % 7 END AS epoch, 'w' || event_id % 3 AS worker_id, props AS result, event_type AS error FROM events), {FOLD_SQL} SELECT task_id, status, cur, fence, worker_id, result, error FROM last")
+def stream_task_fold(spark, d):
+    rows = queries.stream(spark, d, "events").select("user_id", "event_id", "event_type", "props")
+    return queries.task_states(task_batch, rows).where("state is not null").select("task_id", "state.*")
 
 
 @query("SELECT CAST(epoch_us(time_bucket(INTERVAL 1 DAY, ts)) // 1000 AS BIGINT) AS start_ms, event_type, count(*) AS n FROM events GROUP BY ALL")

@@ -1,23 +1,42 @@
 """Queries over all rows of what others take a part of; their rows are compared to SQL with all queries."""
 
+import os
+
 from pyspark.sql import functions as F
 
 from eventloom import catalog
+from eventloom.operators import folds
+from eventloom.streaming import queries
 
 SF = "/root/testdata/sf0.001"
 
 
 def test_every_workflow_is_validated_and_every_step_folded(spark):
     steps = spark.read.parquet(f"{SF}/lineitem.parquet").select("l_orderkey", "l_linenumber").distinct()
-    errors = catalog.QUERIES["dag_validate_all"](spark, SF)
+    errors = catalog.QUERIES["dag_validate"](spark, SF)
     assert errors.count() == steps.select("l_orderkey").distinct().count()
     assert errors.where(F.col("errors").contains("unknown dependency")).count() > 0
-    assert catalog.QUERIES["fold_workflow_steps_all"](spark, SF).count() == steps.count()
+    assert catalog.QUERIES["fold_workflow_steps"](spark, SF).count() == steps.count()
 
 
 def test_every_model_gets_the_best_of_all_workers(spark):
     parts = spark.read.parquet(f"{SF}/part.parquet").select("p_partkey").collect()
     workers = [r.s_suppkey for r in spark.read.parquet(f"{SF}/supplier.parquet").select("s_suppkey").collect()]
     score = lambda m, w: (-(100 * (4 - w % 4) - 10 * (w % 4) + 1000 * ((m + w) % 5 == 0)), w)
-    got = {r.model: r.worker_id for r in catalog.QUERIES["placement_locality_all"](spark, SF).collect()}
+    got = {r.model: r.worker_id for r in catalog.QUERIES["placement_locality"](spark, SF).collect()}
     assert got == {p.p_partkey: min(workers, key=lambda w: score(p.p_partkey, w)) for p in parts}
+
+
+def test_tasks_fold_alike_in_one_batch_and_over_several_files(spark, tmp_path):
+    events = spark.read.parquet(f"{SF}/events.parquet").select("user_id", "event_id", "event_type", "props")
+    third = events.agg(F.max("event_id")).first()[0] // 3 + 1
+    for i in range(3):
+        part = tmp_path / f"part-{i}"
+        events.where(F.expr(f"event_id div {third} = {i}")).coalesce(1).write.parquet(str(part))
+        for f in part.glob("*.parquet"):
+            os.utime(f, (1_000_000 + i, 1_000_000 + i))
+    rows = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/part-*")
+    got = queries.task_states(catalog.task_batch, rows)
+    want = folds.folded(catalog.task_batch(events), "task_id")
+    assert got.count() == want.count() and got.exceptAll(want).count() == 0
+    assert got.select("state.status").distinct().count() > 2
