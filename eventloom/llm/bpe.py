@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import deltas, dump, load, slices, text_bytes, words_of
+from .common import deltas, dump, load, slices, text_bytes, tidy, words_of
 
 #: Characters of a leaf; a text of up to that many is encoded directly.
 LEAF = 32_768
@@ -314,10 +314,10 @@ def bpe(docs: DataFrame, path: str, leaf: int = LEAF, then=None, columns: str =
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     is_long = F.coalesce(F.length("text"), F.lit(0)) > leaf
     tasks = max(32, text_bytes(docs) // TASK_BYTES)
-    dealt = rows.where(is_long).mapInArrow(cut(leaf), LEAVES).repartition(tasks, "key", "salt", "no").sortWithinPartitions("key", "salt", "no")
-    whole = dealt.mapInArrow(leaves(path), LEAVES).repartition(tasks, "key", "salt").sortWithinPartitions("key", "salt", "no")
+    dealt = rows.where(is_long).mapInArrow(tidy(cut(leaf)), LEAVES).repartition(tasks, "key", "salt", "no").sortWithinPartitions("key", "salt", "no")
+    whole = dealt.mapInArrow(tidy(leaves(path)), LEAVES).repartition(tasks, "key", "salt").sortWithinPartitions("key", "salt", "no")
     short, long = (after(run(path), then) if then else run(path) for run in (encoder, joined))
-    return rows.where(~is_long).mapInArrow(short, columns).unionByName(whole.mapInArrow(long, columns))
+    return rows.where(~is_long).mapInArrow(tidy(short), columns).unionByName(whole.mapInArrow(tidy(long), columns))
 
 
 def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

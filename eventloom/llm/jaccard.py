@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bucket, deltas, dump, load, mixed, rolling, slices, stored, text_bytes, word_hashes, words_of
+from .common import by_bucket, deltas, dump, load, mixed, rolling, slices, stored, text_bytes, tidy, tidy_group, word_hashes, words_of
 from .labelled import texts_of
 
 GRAM, PERCENT = 3, 90
@@ -360,7 +360,7 @@ def in_cells(pairs: DataFrame, texts: DataFrame, gram: int, percent: int, tasks:
     wanted = stored(members.unionByName(hubs), "wanted")
     rows = named(wanted.select("doc_id"), texts).join(wanted.hint("shuffle_hash"), "doc_id").select("hub", "salt", "member", "doc_id", "text")
     cells = rows.repartition(tasks, "hub", "salt").sortWithinPartitions("hub", "salt", "member", "doc_id")
-    return stored(cells.mapInArrow(compared(gram, percent), "a long, b long").distinct(), "links")
+    return stored(cells.mapInArrow(tidy(compared(gram, percent)), "a long, b long").distinct(), "links")
 
 
 def verified(pairs: DataFrame, members: DataFrame, texts: DataFrame, gram: int, percent: int, tasks: int) -> DataFrame:
@@ -371,7 +371,7 @@ def verified(pairs: DataFrame, members: DataFrame, texts: DataFrame, gram: int,
     maps = members.select("doc_id", "n", "map").where("n > 0")
     half = pairs.join(maps.select(F.col("doc_id").alias("a"), "n", F.col("map").alias("x")).hint("merge"), "a")
     both = half.join(maps.select(F.col("doc_id").alias("b"), F.col("n").alias("m"), F.col("map").alias("y")).hint("merge"), "b")
-    close = stored(both.select("a", "b", "n", "m", "x", "y").mapInArrow(near(percent), "a long, b long").distinct(), "near")
+    close = stored(both.select("a", "b", "n", "m", "x", "y").mapInArrow(tidy(near(percent)), "a long, b long").distinct(), "near")
     links = in_cells(close.groupBy(F.col("b").alias("doc_id")).agg(F.min("a").alias("hub")), texts, gram, percent, tasks)
     labels = components(links)
     far = close.join(labels.select(F.col("v").alias("a"), F.col("l").alias("x")), "a", "left").join(labels.select(F.col("v").alias("b"), F.col("l").alias("y")), "b", "left")
@@ -405,21 +405,21 @@ def jaccard_join(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT) -> D
     texts = texts_of(docs)
     known = texts.where("doc_id is not null")
     buckets = max(32, text_bytes(docs) // BUCKET_BYTES)
-    counts = known.mapInArrow(common(gram), "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).where(F.col("c") >= COMMON)
+    counts = known.mapInArrow(tidy(common(gram)), "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).where(F.col("c") >= COMMON)
     rows = sorted(((r["c"], r["h"]) for r in counts.orderBy(F.desc("c"), "h").limit(HEAVY).collect()))
     heavy = np.array([h for _, h in rows], np.int64).view(np.uint64)
     by_hash = np.argsort(heavy)
-    index = stored(known.mapInArrow(indexed(gram, percent, buckets, heavy[by_hash], by_hash), INDEX), "index")
+    index = stored(known.mapInArrow(tidy(indexed(gram, percent, buckets, heavy[by_hash], by_hash)), INDEX), "index")
     members = index.where("kind = 0").select("doc_id", "n", "f1", "f2", "map")
     lists = index.where("kind = 1").select("bucket", "packed").repartition(buckets, "bucket")
-    found = stored(lists.groupBy("bucket").applyInArrow(led(percent), FOUND), "lists")
+    found = stored(lists.groupBy("bucket").applyInArrow(tidy_group(led(percent)), FOUND), "lists")
     pairs = stored(found.where("kind = 0").select("a", "b").distinct(), "pairs")
     links = verified(pairs, members, known, gram, percent, buckets)
     entries = found.where("kind = 1").select("list", "a", "n", "pos")
     labels = components(links).select(F.col("v").alias("a"), F.col("l"))
     entries = entries.join(labels, "a", "left").select("list", "a", "n", "pos", F.coalesce("l", "a").alias("comp"))
     open_lists = stored(entries.groupBy("list").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("list"), "open")
-    rest = entries.join(open_lists, "list").repartition("list").sortWithinPartitions("list").mapInArrow(probed(percent), "a long, b long").distinct().join(pairs, ["a", "b"], "left_anti")
+    rest = entries.join(open_lists, "list").repartition("list").sortWithinPartitions("list").mapInArrow(tidy(probed(percent)), "a long, b long").distinct().join(pairs, ["a", "b"], "left_anti")
     more = verified(stored(rest, "pairs"), members, known, gram, percent, buckets)
     # components found first stand for their sets: each set's link to its component, and links between components
     one, two = labels.select("a", F.col("l").alias("x")), labels.select(F.col("a").alias("b"), F.col("l").alias("y"))
@@ -435,7 +435,7 @@ def jaccard_join(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT) -> D
     reps = components(ends.select("ra", "rb").union(twofold).where("ra <> rb").select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct())
     named_by = mine.join(reps.select(F.col("v").alias("rep"), "l"), "rep", "left").select("doc_id", F.coalesce("l", "rep").alias("l"))
     part = members.select("doc_id", F.col("n").alias("n_shingles")).join(named_by, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("l", "doc_id").alias("component_id"))
-    lost = texts.where("doc_id is null").select(F.col("doc_id").alias("was"), F.coalesce("doc_id", F.lit(0)).alias("doc_id"), "text").mapInArrow(sizes(gram), "doc_id long, n_shingles long, component_id long")
+    lost = texts.where("doc_id is null").select(F.col("doc_id").alias("was"), F.coalesce("doc_id", F.lit(0)).alias("doc_id"), "text").mapInArrow(tidy(sizes(gram)), "doc_id long, n_shingles long, component_id long")
     return part.unionByName(lost)
 
 

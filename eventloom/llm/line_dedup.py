@@ -20,12 +20,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MARKS, PACKED, by_bucket, deltas, dump, fingerprint, load, mixed, rows, slices, text_bytes
+from .common import MARKS, PACKED, by_bucket, deltas, dump, fingerprint, load, mixed, rows, slices, text_bytes, tidy, tidy_group
 from .labelled import texts_of
 
 #: Lines with fewer characters that aren't white space stay; one edit counts where both lines have so many characters.
 LEAST, LEAST_EDIT = 8, 20
 BUCKET_BYTES, SLICE = 16_000_000, 2_500_000
+#: Code points that a worker holds running sums of at once.
+BLOCK = 250_000
 BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 SALTS = (np.uint64(0x165667B19E3779F9), np.uint64(0x85EBCA77C2B2AE63))
 OUT = "doc_id long, n_lines long, n_removed long, kept_text string"
@@ -66,10 +68,10 @@ class Lines:
         self.points = points
         self.n = self.end - self.start
 
-    def sums(self, which: int) -> tuple[np.ndarray, np.ndarray]:
-        """Running sums of value * base ** place, and base ** -place; with them the hash of any stretch."""
+    def sums(self, which: int, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
+        """Running sums of value * base ** place, and base ** -place, of the points from lo to hi; with them the hash of any stretch, whatever lo is."""
         base = BASES[which]
-        values = mixed(self.points.astype(np.uint64) + SALTS[which])
+        values = mixed(self.points[lo:hi].astype(np.uint64) + SALTS[which])
         values *= powers(base, len(values))
         return np.concatenate([np.zeros(1, np.uint64), np.cumsum(values, dtype=np.uint64)]), powers(inverse(base), len(values) + 1)
 
@@ -85,6 +87,12 @@ def stretch(sums: np.ndarray, back: np.ndarray, a: np.ndarray, b: np.ndarray) ->
     return (sums[b] - sums[a]) * back[a]
 
 
+def blocks(start: np.ndarray) -> Iterator[tuple[int, int]]:
+    """First and last (excluded) of the lines that start in the same BLOCK points; start ascends."""
+    cut = (np.flatnonzero(np.diff(start // BLOCK)) + 1).tolist()
+    return zip([0, *cut], [*cut, len(start)], strict=True)
+
+
 def spread(out: list[list], buckets: np.ndarray, kind: int, pack) -> None:
     order, found, cut = by_bucket(buckets)
     for k, x in enumerate(found):
@@ -102,30 +110,31 @@ def offered(buckets: int):
             lines = np.flatnonzero(s.solid >= LEAST)
             if not len(lines):
                 continue
-            sums, back = s.sums(0)
-            sums2, back2 = s.sums(1)
-            a, b, n = s.start[lines], s.end[lines], s.n[lines]
-            one = mixed(stretch(sums, back, a, b) + n.astype(np.uint64))
-            two = mixed(stretch(sums2, back2, a, b) + n.astype(np.uint64))
+            n = s.n[lines]
+            one, two, keys = np.empty(len(lines), np.uint64), np.empty(len(lines), np.uint64), np.empty((4, len(lines)), np.uint64)
+            for x, y in blocks(s.start[lines]):
+                lo, hi = int(s.start[lines[x]]), int(s.end[lines[y - 1]])
+                a, b = s.start[lines[x:y]] - lo, s.end[lines[x:y]] - lo
+                sums, back = s.sums(0, lo, hi)
+                one[x:y] = mixed(stretch(sums, back, a, b) + n[x:y].astype(np.uint64))
+                for shorter in (0, 1):  # as a line of its length, and as one longer than a line that lacks a character
+                    m = n[x:y] - shorter
+                    half, rest = m // 2, m - m // 2
+                    keys[2 * shorter, x:y] = mixed(stretch(sums, back, a, a + half) ^ (m * 4).astype(np.uint64))
+                    keys[2 * shorter + 1, x:y] = mixed(stretch(sums, back, b - rest, b) ^ (m * 4 + 1).astype(np.uint64))
+                sums, back = s.sums(1, lo, hi)
+                two[x:y] = mixed(stretch(sums, back, a, b) + n[x:y].astype(np.uint64))
             order = np.lexsort((np.arange(len(lines)), two, one))
             new = np.concatenate([[True], (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1])])
             again, keep = lines[order[~new]], np.sort(order[new])
             first = lines[order[new]][np.cumsum(new) - 1][~new]
             again = again[(s.ids[s.doc[again]] != s.ids[s.doc[first]]) | (s.no[again] != s.no[first])]
             spread(out, s.ids[s.doc[again]] % buckets, 0, lambda i: s.packed(np.sort(again[i])))
-            lines, one, two, n = lines[keep], one[keep], two[keep], n[keep]
+            lines, one, two, n, keys = lines[keep], one[keep], two[keep], n[keep], keys[:, keep]
             spread(out, (one % np.uint64(buckets)).astype(np.int64), 1, lambda i: s.packed(lines[i], one[i], two[i]))
             near = np.flatnonzero(n >= LEAST_EDIT)
-            a, b, n = s.start[lines[near]], s.end[lines[near]], n[near]
             low = (one[near] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-            keys, owner = [], []
-            for shorter in (0, 1):  # as a line of its length, and as one longer than a line that lacks a character
-                m = n - shorter
-                half, rest = m // 2, m - m // 2
-                keys.append(mixed(stretch(sums, back, a, a + half) ^ (m * 4).astype(np.uint64)))
-                keys.append(mixed(stretch(sums, back, b - rest, b) ^ (m * 4 + 1).astype(np.uint64)))
-                owner += [near, near]
-            keys, owner = np.concatenate(keys), np.concatenate(owner)
+            keys, owner = keys[:, near].reshape(-1), np.tile(near, 4)
             low = np.tile(low, 4)
             order = np.argsort(owner, kind="stable")
             keys, owner, low = keys[order], owner[order], low[order]
@@ -215,23 +224,27 @@ def variants(buckets: int):
             out: list[list] = [[], [], []]
             spread(out, s.ids[s.doc[known]] % buckets, 0, lambda i: s.packed(known[i]))
             if len(near):
-                (sums, back), (sums2, back2) = s.sums(0), s.sums(1)
                 run_len = s.n[near] + 1
                 for part in np.array_split(np.arange(len(near)), max(1, int(run_len.sum()) // 1_000_000)):
                     line, n = near[part], s.n[near[part]]
                     owner = np.repeat(np.arange(len(line)), n + 1)
                     place = np.arange(len(owner)) - np.repeat(np.cumsum(n + 1) - (n + 1), n + 1) - 1
-                    a, b = s.start[line][owner], s.end[line][owner]
-                    cut = np.maximum(a + place, a)
-                    skip = (place >= 0).astype(np.int64)
-
-                    def hashed(sums: np.ndarray, back: np.ndarray, which: int) -> np.ndarray:
-                        head = sums[cut] - sums[a]
-                        tail = (sums[b] - sums[cut + skip]) * np.where(skip > 0, inverse(BASES[which]), np.uint64(1))
-                        return mixed((head + tail) * back[a] + (b - a - skip).astype(np.uint64))
-
-                    one, two = hashed(sums, back, 0), hashed(sums2, back2, 1)
-                    two = (two >> np.uint64(32)).astype(np.uint32)
+                    one, two = np.empty(len(owner), np.uint64), np.empty(len(owner), np.uint32)
+                    ends = np.cumsum(n + 1)
+                    for x, y in blocks(s.start[line]):
+                        u, v = int(ends[x] - n[x] - 1), int(ends[y - 1])
+                        lo, hi = int(s.start[line[x]]), int(s.end[line[y - 1]])
+                        a, b = s.start[line][owner[u:v]] - lo, s.end[line][owner[u:v]] - lo
+                        cut = np.maximum(a + place[u:v], a)
+                        skip = (place[u:v] >= 0).astype(np.int64)
+
+                        def hashed(which: int) -> np.ndarray:
+                            sums, back = s.sums(which, lo, hi)
+                            head = sums[cut] - sums[a]
+                            tail = (sums[b] - sums[cut + skip]) * np.where(skip > 0, inverse(BASES[which]), np.uint64(1))
+                            return mixed((head + tail) * back[a] + (b - a - skip).astype(np.uint64))
+
+                        one[u:v], two[u:v] = hashed(0), hashed(1) >> np.uint64(32)
                     spread(out, (one % np.uint64(buckets)).astype(np.int64), 1, lambda i: s.packed(line[owner[i]], one[i], two[i], place[i].astype(np.int32)))
             yield rows("packed", out)
 
@@ -303,10 +316,10 @@ def line_dedup(docs: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
         each = found.groupBy("doc_id").agg(F.collect_list(F.struct("fp", "kind", "packed")).alias("marks"))
         return dealt.join(each.hint("shuffle_hash"), "doc_id", how)
 
-    first = texts_of(docs).where("doc_id is not null and text is not null").mapInArrow(offered(buckets), PACKED).repartition(buckets, "bucket").groupBy("bucket").applyInArrow(met, MARKS)
-    second = with_marks(first, "inner").mapInArrow(variants(buckets), PACKED).repartition(buckets, "bucket").groupBy("bucket").applyInArrow(settled, MARKS)
+    first = texts_of(docs).where("doc_id is not null and text is not null").mapInArrow(tidy(offered(buckets)), PACKED).repartition(buckets, "bucket").groupBy("bucket").applyInArrow(tidy_group(met), MARKS)
+    second = with_marks(first, "inner").mapInArrow(tidy(variants(buckets)), PACKED).repartition(buckets, "bucket").groupBy("bucket").applyInArrow(tidy_group(settled), MARKS)
     unnamed = texts.where("doc_id is null").withColumn("marks", F.lit(None))
-    return with_marks(second, "left").unionByName(unnamed).mapInArrow(kept, f"{OUT}, extra {texts.schema['extra'].dataType.simpleString()}")
+    return with_marks(second, "left").unionByName(unnamed).mapInArrow(tidy(kept), f"{OUT}, extra {texts.schema['extra'].dataType.simpleString()}")
 
 
 def op8_line_dedup(spark, sf_dir: str) -> DataFrame:

@@ -19,13 +19,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import in_hold_out, slices, table, words_of
+from .common import in_hold_out, slices, table, tidy, tidy_group, words_of
 from .labelled import PER_CLASS, texts_of, training
 
 VOCAB, DIMS, CHUNKS, REACH = 1 << 14, 32, 16, 2
 HIDDEN, EPOCHS, RATES = 32, 40, 8
 #: Text bytes that a Python worker holds as words at once.
-HELD_BYTES = 3_000_000
+HELD_BYTES = 1_000_000
 THRESHOLD = 0.7
 PARTIAL = "pile int, chunk int, sums binary"
 
@@ -78,10 +78,10 @@ def added(group: pa.Table) -> pa.Table:
 
 def word_vectors(docs: DataFrame) -> np.ndarray:
     """VOCAB x DIMS, of all documents. Sums of a task's slices are added in piles of 128 tasks, then the piles: CHUNKS rows reach the driver."""
-    sums = docs.select("text").where("text is not null").mapInArrow(neighbour_sums, PARTIAL)
-    piles = sums.groupBy("pile", "chunk").applyInArrow(added, PARTIAL)
+    sums = docs.select("text").where("text is not null").mapInArrow(tidy(neighbour_sums), PARTIAL)
+    piles = sums.groupBy("pile", "chunk").applyInArrow(tidy_group(added), PARTIAL)
     whole = np.zeros((CHUNKS, VOCAB * DIMS // CHUNKS))
-    for r in piles.groupBy("chunk").applyInArrow(added, PARTIAL).collect():
+    for r in piles.groupBy("chunk").applyInArrow(tidy_group(added), PARTIAL).collect():
         whole[r["chunk"]] = np.frombuffer(r["sums"])
     vectors = whole.reshape(VOCAB, DIMS)
     length = np.linalg.norm(vectors, axis=1, keepdims=True)
@@ -172,7 +172,7 @@ def fitted(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tu
             x = pooled(b.column("text"), vectors)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), pa.array([r.tobytes() for r in x], pa.binary())], names=["doc_id", "y", "x"])
 
-    rows = training(docs, labels, "quality", per_class).mapInArrow(run, "doc_id long, y int, x binary").collect()
+    rows = training(docs, labels, "quality", per_class).mapInArrow(tidy(run), "doc_id long, y int, x binary").collect()
     rows.sort(key=lambda r: (r["doc_id"], bytes(r["x"])))
     x = np.array([np.frombuffer(r["x"], np.float32) for r in rows], np.float64).reshape(len(rows), 2 * DIMS + RATES)
     return vectors, Network(x, np.array([r["y"] for r in rows], np.float64))
@@ -193,7 +193,7 @@ def scores(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, into:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(network.probability(x), pa.float64())], names=[*b.schema.names, into])
 
     rows = docs.select(*kept)
-    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(into, T.DoubleType())]))
+    return rows.mapInArrow(tidy(run), T.StructType([*rows.schema.fields, T.StructField(into, T.DoubleType())]))
 
 
 def op10_quality(spark, sf_dir: str) -> DataFrame:
