@@ -29,7 +29,7 @@ def test_every_model_gets_the_best_of_all_workers(spark):
     assert got == {p.p_partkey: min(workers, key=lambda w: score(p.p_partkey, w)) for p in parts}
 
 
-@pytest.mark.parametrize("name", ["placement_locality"])
+@pytest.mark.parametrize("name", ["placement_locality", "placement_predicted"])
 def test_workers_are_ranked_by_remainders_of_models_not_by_model(spark, tmp_path, name):
     spark.createDataFrame([(k,) for k in (None, -7, -5, 0, 3, 3, 4, 2**40)], "p_partkey bigint").write.parquet(f"{tmp_path}/part.parquet")
     for i, keys in enumerate([[None, -3, -1, 6, 11, 14, 15, 22], [None], []]):
