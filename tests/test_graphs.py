@@ -103,3 +103,15 @@ def test_workflows_stay_whole_over_batches(monkeypatch, seed):
         large = {x[0] for x in got if x[-1]}
         assert large <= over and (size > 2 or large == over)
         same([x[:-1] for x in got if not x[-1]], [x for x in want if x[0] not in large])
+
+
+def test_validation_is_of_one_pass_whatever_the_depth(spark, written, chain):
+    assert [r.errors for r in dag.validated(chain, spark.createDataFrame([("w", 8)], "workflow_id string, result_step_id int")).collect()] == [""]
+    assert len(written) == 1
+
+
+@pytest.mark.parametrize("large", [graphs.LARGE, 12])
+def test_errors_of_any_graph(spark, large):
+    results = [(w, 2) for w in [None, *map(str, range(14)), "none"]]
+    got = dag.validated(spark.createDataFrame(made(4), STEPS), spark.createDataFrame(results, "workflow_id string, result_step_id int"), large)
+    same(got.select("workflow_id", "errors").collect(), errors_of(made(4), results))
