@@ -115,3 +115,15 @@ def test_errors_of_any_graph(spark, large):
     results = [(w, 2) for w in [None, *map(str, range(14)), "none"]]
     got = dag.validated(spark.createDataFrame(made(4), STEPS), spark.createDataFrame(results, "workflow_id string, result_step_id int"), large)
     same(got.select("workflow_id", "errors").collect(), errors_of(made(4), results))
+
+
+def test_levels_are_of_one_pass_whatever_their_number(spark, written, chain):
+    assert {(r.step_id, r.depth) for r in dag.levels(chain).collect()} == {(i, i) for i in range(9)}
+    assert len(written) == 1
+
+
+@pytest.mark.parametrize("large", [graphs.LARGE, 12])
+def test_levels_of_any_graph(spark, large):
+    got = dag.levels(spark.createDataFrame(made(5), STEPS), large)
+    assert got.schema["step_id"].dataType.simpleString() == "int"
+    same(got.select("workflow_id", "step_id", "depth").collect(), levels_of(made(5)))
